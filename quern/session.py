@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._quern_shipped = True
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, app: str = "quern") -> SparkSession:
     """A local session with the settings every plan here is written for.
 
