@@ -23,6 +23,10 @@ from quern.operators.materialize import materialize
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+#: Documents whose tokens are held at a time.
+BATCH = 500
+
+
 @dataclass(frozen=True)
 class LeakConfig:
     """k, window: of the winnowing. share: least share of the question in one stretch. kept:
@@ -365,9 +369,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, cfg: LeakConfig = LeakCon
 
         def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             th = TokenHashes()
-            for part in parts:
-                ids = part["doc_id"].to_numpy()
-                yield pd.DataFrame([(ids[d], i, how) for d, i, how in batch_leaks(part["text"], shared.value, th)], columns=["doc_id", "item_id", "how"])
+            for whole in parts:
+                for at in range(0, len(whole), BATCH):
+                    part = whole.iloc[at : at + BATCH]
+                    ids = part["doc_id"].to_numpy()
+                    yield pd.DataFrame([(ids[d], i, how) for d, i, how in batch_leaks(part["text"], shared.value, th)], columns=["doc_id", "item_id", "how"])
 
         return docs.mapInPandas(scan, "doc_id bigint, item_id bigint, how string")
     return _find_by_shuffle(docs, own, cfg)
