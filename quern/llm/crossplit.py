@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm.forms import TokenHashes, fold, key_tokens, plain, raw_tokens
 from quern.llm.leaks import gram_hashes
 from quern.operators.materialize import broadcast_if_small, materialize
+from quern.operators.setjoin import similar_sets
 
 EVAL_SPLITS = ("validation", "test")
 
@@ -32,32 +33,9 @@ HOT_QUESTIONS = 64
 def prefix_join(units: DataFrame, t: float) -> DataFrame:
     """left, right: units of the evaluation side and of the training side with Jaccard similarity of at least t.
 
-    units: u, is_train, is_eval, grams (distinct bigints, never null). A unit of both sides
-    isn't paired with itself. Units without grams match none. Exact: no frequency is cut off.
+    units: u, is_train, is_eval, grams (distinct bigints, never null).
     """
-    grams = units.select("u", "is_train", "is_eval", F.explode("grams").alias("g"))
-    # shingles of one side only can't match; they come first in the order and fill prefixes for free
-    useful = grams.groupBy("g").agg(F.count("*").alias("df"), F.max("is_train").alias("a"), F.max("is_eval").alias("b")).filter("a and b and df > 1").select("g", "df")
-    order = grams.select("u", "g").join(useful, "g").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
-    sized = units.select("u", "is_train", "is_eval", F.size("grams").alias("n")).join(order, "u")
-    free = F.col("n") - F.size("order")
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1
-    cut = sized.withColumn("take", F.greatest(length - free, F.lit(0))).filter("take > 0")
-    prefix = materialize(
-        cut.select("u", "is_train", "is_eval", "n", free.alias("free"), F.posexplode(F.expr("slice(order, 1, take)")).alias("at", "x")).select("u", "is_train", "is_eval", "n", (F.col("free") + F.col("at")).alias("at"), F.col("x.g").alias("g")),
-        "prefix",
-    )
-    left = prefix.filter("is_eval").select("g", F.col("u").alias("left"), F.col("n").alias("nl"), F.col("at").alias("pl"))
-    right = prefix.filter("is_train").select("g", F.col("u").alias("right"), F.col("n").alias("nr"), F.col("at").alias("pr"))
-    need = F.lit(t / (1 + t)) * (F.col("nl") + F.col("nr")) - 1e-9
-    met = left.join(right, "g").filter((F.col("left") != F.col("right")) & (F.col("nl") >= t * F.col("nr") - 1e-9) & (F.col("nr") >= t * F.col("nl") - 1e-9))
-    # what lies before the first common shingle is in one of the two only
-    met = met.filter(F.least(F.col("nl") - F.col("pl"), F.col("nr") - F.col("pr")) >= need)
-    pairs = met.select("left", "right").distinct()
-    sets = units.select("u", "grams")
-    both = pairs.join(sets.select(F.col("u").alias("left"), F.col("grams").alias("gl")), "left").join(sets.select(F.col("u").alias("right"), F.col("grams").alias("gr")), "right")
-    common = F.size(F.array_intersect("gl", "gr"))
-    return both.filter(common >= t * (F.size("gl") + F.size("gr") - common) - 1e-9).select("left", "right")
+    return similar_sets(units.select("u", F.col("is_eval").alias("is_left"), F.col("is_train").alias("is_right"), "grams"), t)
 
 
 # Questions

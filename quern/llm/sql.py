@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-_SUBJECT = "nullif(regexp_replace(regexp_replace(lower(metadata.subject), '^[\\s\\u00a0]+', ''), '[\\s\\u00a0]+$', ''), '')"
-_ANSWER = "nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(metadata.answer), '^[\\s\\u00a0]+', ''), '[\\s\\u00a0]+$', ''), '\\.$', ''), '[\\s\\u00a0]+$', ''), '')"
+from quern.queries.sqltext import strip
+
+_SUBJECT = f"nullif({strip('lower(metadata.subject)')}, '')"
+_ANSWER = strip("regexp_replace(" + strip("upper(metadata.answer)") + ", '\\.$', '')")
+_ANSWER = f"nullif({_ANSWER}, '')"
 
 P6_FOUND = f"""
 with counted as (
