@@ -59,7 +59,7 @@ def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions of the kept hashes: the rightmost smallest of each window; all, if there are fewer than window."""
     n = len(hashes)
-    if n <= window:
+    if n < window:
         return np.arange(n)
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
     return np.unique(np.arange(n - window + 1) + window - 1 - views.argmin(axis=1))

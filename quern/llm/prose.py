@@ -27,6 +27,7 @@ _END = frozenset(".!?…。！？\"”»)'’:;")
 _STOP = frozenset(".!?…。！？")
 _SCRIPTS = re.compile(r"[Â-ï][\u0080-¿]")
 _ODD = frozenset("�□¿ß¤¶§")
+_TAGS = re.compile(r"</?[a-zA-Z][^<>]*>")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
 # Line profiles of natural prose, lists, tables and junk: shares of long sentences, short
@@ -53,10 +54,12 @@ def _columns(line: str) -> dict[str, int]:
 
 
 def line_classes(text: str, signs: bool = True) -> list[float]:
-    """Shares of the text's characters in lines that read as sentences, as short entries, as rows of cells, as junk.
+    """Shares, by characters and by lines, of lines that read as sentences, as short entries, as rows of cells, as junk.
 
     Without signs, no line is looked at for too many of them.
     """
+    if "<" in text:
+        text = _TAGS.sub("", text)
     lines = [x for x in text.splitlines() if x.strip()]
     if not lines:
         return [0.0, 0.0, 0.0, 0.0]
@@ -77,7 +80,7 @@ def line_classes(text: str, signs: bool = True) -> list[float]:
     if best < 3 or best < 0.3 * len(lines):
         cells = set()
     # consecutive lines that break a sentence are one sentence
-    weight = [0.0] * 4
+    weight, number = [0.0] * 4, [0] * 4
     answers = {k for k, x in enumerate(lines) if _ENUM_CHOICE.match(x)}
     asked = len(answers) >= 3 and len({lines[k].strip(" (")[0].upper() for k in answers}) >= 3
     bullets = [bool(_BULLET.match(x)) for x in lines]
@@ -97,8 +100,10 @@ def line_classes(text: str, signs: bool = True) -> list[float]:
         else:
             kind = 0
         weight[kind] += n
+        number[kind] += 1
+    # half by characters, half by lines: a list stays one under a long first sentence, prose with a short list inside
     total = sum(weight) or 1.0
-    return [w / total for w in weight]
+    return [(w / total + n / len(lines)) / 2 for w, n in zip(weight, number)]
 
 
 def _continues(lines: list[str], words: list[int], k: int) -> bool:
@@ -218,8 +223,8 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
         classes = [c * (1 - junk) for c in classes]
         classes[3] += junk
     # function words mark prose: their usual share moves weight from the entries to the sentences
-    if share > 0.12 and classes[0] < 0.5 and not junk and not classes[2] > 0.5:
-        moved = classes[1] * min(1.0, (share - 0.12) / 0.12) * 0.5
+    if share > 0.2 and classes[0] < 0.5 and not junk and not classes[2] > 0.5:
+        moved = classes[1] * min(1.0, (share - 0.2) / 0.1) * 0.5
         classes = [classes[0] + moved, classes[1] - moved, classes[2], classes[3]]
     far = {k: divergence(classes, p) for k, p in PROFILES.items()}
     kind = min(far, key=lambda k: (far[k], k != "prose"))
