@@ -25,10 +25,10 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> D
     A directory is read recursively; files are ordered by path. Line numbers come from
     positions within each file's one split, so files are read whole.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path).select(F.input_file_name().alias("path"), "value")
+    files = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("n", "raw"))
     return lines.select("path", (F.col("n") + 1).alias("line_no"), "raw").filter(strip("raw") != "")
 

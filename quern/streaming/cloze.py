@@ -40,15 +40,17 @@ def run_until(stream: DataFrame, path: str, checkpoint: str, cap: int) -> int:
     batch pipeline gives.
     """
     total = 0
-    query: list[StreamingQuery] = []
 
     def write(batch: DataFrame, n: int) -> None:
         nonlocal total
-        if total >= cap:
+        if total >= cap:  # a batch that began before the query was stopped
+            batch.write.format("noop").mode("overwrite").save()
             return
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
         total += batch.sparkSession.read.parquet(f"{path}/batch={n}").count()
 
-    query.append(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query[0].awaitTermination()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while not query.awaitTermination(1):
+        if total >= cap:
+            query.stop()
     return total
