@@ -155,7 +155,11 @@ def encode(documents: DataFrame, path: str | None = None, long_text: int = 1_000
 
 
 def parts_of(text: str, size: int) -> Iterator[tuple[bool, str]]:
-    """(free, part): parts of about size characters; free if the pattern cuts before it, else it goes on with a run."""
+    """(free, part): parts of about size characters; free if the pattern cuts before it, else it goes on with a run.
+
+    No part ends in white space unless it has to: the pattern takes the last of several
+    white space characters apart only if a word follows.
+    """
     import regex
 
     held, n = [], 0
@@ -168,7 +172,7 @@ def parts_of(text: str, size: int) -> Iterator[tuple[bool, str]]:
             for at in range(0, len(run), size):
                 yield at == 0, run[at : at + size]
             continue
-        if n + len(run) > size:
+        if n + len(run) > size and held and not held[-1][-1].isspace():
             yield True, "".join(held)
             held, n = [], 0
         held.append(run)
