@@ -8,6 +8,8 @@ second filter calls possible repeats are shuffled for exact grouping; the rest a
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,51 +32,75 @@ class BloomConfig:
     block_bits: int = 1 << 22
 
 
-def canonical(text: Column) -> Column:
+# Signs that may belong to a number; all other punctuation is dropped.
+_OF_NUMBERS = ".,/:%-−"
+_PUNCTUATION = "".join(re.escape(chr(c)) for c in range(0x21, 0x10000) if unicodedata.category(chr(c))[0] == "P" and chr(c) not in _OF_NUMBERS)
+_GAP = re.compile(r"(?<=\d)\s+(?=\d)")
+_MINUS = re.compile(r"(?<=\d)\s*([-−])\s*(?=\d)")
+_DROP = re.compile(rf"[\s{_PUNCTUATION}]+|(?<!\d)[.,/:]|[.,/:](?!\d)|(?<!\d)%|(?<=[^\W\d_])[-−]|[-−](?!\d)")
+_CHAT = re.compile(r"\A(.*?)\n" + r"\n".join(r"\s*[(\[]?" + x + r"\s*[.):\]\-–—/]+(.*?)" for x in "ABCD") + r"\Z", re.S)
+_ASKED = re.compile(r"\A\s*câu\s+hỏi\s*:", re.I)
+
+
+def canonical(text: str) -> str:
     """Text without case, white space and punctuation; signs and separators of numbers stay.
 
-    Neighbouring numbers stay apart. Null stays null.
+    Neighbouring numbers stay apart.
     """
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"(?U)(?<=\d)\s+(?=\d)", "\u0001")
-    t = F.regexp_replace(t, r"(?U)(?<=\d)\s*([-−])\s*(?=\d)", "$1")
-    return F.regexp_replace(
-        t,
-        r"(?U)\s+|(?<!\d)[.,/:]|[.,/:](?!\d)|(?<!\d)%|(?<=[\p{L}\p{M}])[-−]|[-−](?!\d)|[\p{P}&&[^.,/:%\-−\u0001]]",
-        "",
-    )
+    t = _GAP.sub("\u0001", text.lower())
+    if "-" in t or "−" in t:
+        t = _MINUS.sub(r"\1", t)
+    return _DROP.sub("", t)
 
 
-def letter(answer: Column) -> Column:
-    """Answer letter A to D out of its spellings ('c', ' C.', '(C)'); null for anything else."""
-    t = F.upper(F.regexp_replace(answer, r"(?U)[\s\p{P}]+", ""))
-    return F.when(t.isin("A", "B", "C", "D"), t)
+def letter(answer: str | None) -> str | None:
+    """Answer letter A to D out of its spellings ('c', ' C.', '(C)'); None for anything else."""
+    t = re.sub(r"[\W_]+", "", answer or "").upper()
+    return t if t in ("A", "B", "C", "D") else None
 
 
-def canonical_record(question: Column, choices: list[Column], answer: Column) -> Column:
-    """One text per record: question, choices in any order, and the text of the right choice.
+def chat_parts(content: str | None) -> tuple[str, list[str]] | None:
+    """Question and four choices of a rendered multiple-choice prompt; None where a label is missing.
 
-    Null if the question, a choice or the answer is null or without letters and digits.
+    The question may span lines; labels A to D start lines, in order, followed by
+    punctuation.
     """
-    parts = [F.nullif(canonical(c), F.lit("")) for c in (question, *choices)]
-    right = F.element_at(F.array(*parts[1:]), F.instr(F.lit("ABCD"), letter(answer)))
-    whole = F.concat_ws("\u0002", parts[0], F.array_join(F.array_sort(F.array(*parts[1:])), "\u0003"), right)
-    known = letter(answer).isNotNull()
-    for p in parts:
-        known = known & p.isNotNull()
-    return F.when(known, whole)
+    m = _CHAT.match(content or "")
+    return (_ASKED.sub("", m[1]), [m[2], m[3], m[4], m[5]]) if m else None
 
 
-def chat_parts(content: Column) -> tuple[Column, list[Column]]:
-    """Question and four choices of a rendered multiple-choice prompt; null where a label is missing.
+def canonical_record(question: str | None, choices: list[str | None], answer: str | None) -> str | None:
+    """One text per record: question, choices in any order, and the text of the right choice.
 
-    The question may span lines; labels A to D start lines, in order, followed by
-    punctuation.
+    None if the question, a choice or the answer is missing or without letters and digits.
     """
-    pattern = r"(?s)\A(.*?)\n" + r"\n".join(r"\s*[(\[]?" + x + r"\s*[.):\]\-–—/]+(.*?)" for x in "ABCD") + r"\z"
-    whole = content.rlike(pattern)
-    question, *choices = (F.when(whole, F.regexp_extract(content, pattern, n)) for n in range(1, 6))
-    return F.regexp_replace(question, r"(?iuU)\A\s*câu\s+hỏi\s*:", ""), choices
+    right = letter(answer)
+    if right is None or question is None or None in choices or len(choices) != 4:
+        return None
+    q, c = canonical(question), [canonical(x) for x in choices]
+    if not q or not all(c):
+        return None
+    return "\u0002".join([q, "\u0003".join(sorted(c)), c["ABCD".index(right)]])
+
+
+def from_columns(question: Column, choices: list[Column], answer: Column) -> Column:
+    """canonical_record of columns, Arrow-batched."""
+
+    @F.pandas_udf("string")
+    def record(q: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, answers: pd.Series) -> pd.Series:
+        return pd.Series([canonical_record(x[0], list(x[1:5]), x[5]) for x in zip(q, a, b, c, d, answers)], dtype=object)
+
+    return record(question, *choices, answer)
+
+
+def from_chat(content: Column, answer: Column) -> Column:
+    """canonical_record of rendered prompts."""
+
+    @F.pandas_udf("string")
+    def record(contents: pd.Series, answers: pd.Series) -> pd.Series:
+        return pd.Series([canonical_record(*parts, a) if (parts := chat_parts(t)) else None for t, a in zip(contents, answers)], dtype=object)
+
+    return record(content, answer)
 
 
 def _positions(h: np.ndarray, n: int, bits: int) -> list[np.ndarray]:

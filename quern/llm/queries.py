@@ -87,10 +87,10 @@ def p4_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     wiki = table(spark, sf_dir, "wiki_mcq_seed")
-    question, choices = copies.chat_parts(F.get("messages", F.lit(0))["content"])
-    w = wiki.select(F.lit("wiki_mcq_seed").alias("source_table"), F.col("row_id").alias("id"), copies.canonical_record(question, choices, F.col("metadata.answer")).alias("canonical"))
+    content = F.get("messages", F.lit(0))["content"]
+    w = wiki.select(F.lit("wiki_mcq_seed").alias("source_table"), F.col("row_id").alias("id"), copies.from_chat(content, F.col("metadata.answer")).alias("canonical"))
     exams = table(spark, sf_dir, "exams_mcq_seed")
-    e = exams.select(F.lit("exams_mcq_seed").alias("source_table"), F.col("row_id").alias("id"), copies.canonical_record(F.col("question"), [F.col(f"choice_{x}") for x in "abcd"], F.col("answer_letter")).alias("canonical"))
+    e = exams.select(F.lit("exams_mcq_seed").alias("source_table"), F.col("row_id").alias("id"), copies.from_columns(F.col("question"), [F.col(f"choice_{x}") for x in "abcd"], F.col("answer_letter")).alias("canonical"))
     return w.unionByName(e)
 
 
