@@ -10,8 +10,11 @@ from quern.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, memory="4g", shuffle_partitions=4, app="tests")
+    s = local_session(4, memory="4g", shuffle_partitions=2, app="tests")
     s.sparkContext.setLogLevel("ERROR")
+    # small tables: compiling a plan takes longer than running it
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
+    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     ship(s)
     yield s
     s.stop()
