@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import mcq as prompts
+from quern.operators.materialize import materialize
 from quern.plans import boundary, cloze, comprehension, instruction, mcq, recheck, scoring, training_split
 
 CTX = "x" * 79
@@ -132,7 +133,7 @@ def test_construction_end_to_end(spark):
     gen = spark.createDataFrame([(None, "cmcq-gen-s1", None, (["Huế", "Đà Nẵng", "Vinh"], None), 1)], GEN)
     stage = mcq.candidates(_raw(spark).unionByName(_raw(spark, n=2, source_id="s2", dedup_hash="h2")), gen, F.col("pos"))
     assert sorted(str(r.reason) for r in stage.rows.collect()) == ["None", "missing_generation_output"]
-    records = mcq.candidate_records(stage.kept)
+    records = materialize(mcq.candidate_records(stage.kept), "records")
     r = records.first()
     assert r.metadata.answer == "C" and r.metadata.choices["C"] == "Hà Nội" and r.messages[1].content == "Đáp án: C"
     assert mcq.rule_check(records, "row_id").rows.first().reason is None
@@ -154,6 +155,12 @@ def test_construction_end_to_end(spark):
     assert mcq.soft_checks(records).first().long_choices == 0
 
 
+@pytest.fixture(scope="module")
+def records(spark):
+    gen = spark.createDataFrame([("s1", "r1", '{"distractors": ["Huế", "Đà Nẵng", "Vinh"]}', None, 1)], GEN)
+    return materialize(mcq.candidate_records(mcq.candidates(_raw(spark), gen, F.col("pos")).kept), "records")
+
+
 @pytest.mark.parametrize(
     ("change", "want"),
     [
@@ -164,9 +171,7 @@ def test_construction_end_to_end(spark):
         ({"choices": {"A": "Thủ đô Hà Nội", "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "distractor_matches_gold"), ({"choices": {"A": "z" * 60, "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "choice_length_imbalance"),
     ],
 )
-def test_rule_check(spark, change, want):
-    gen = spark.createDataFrame([("s1", "r1", '{"distractors": ["Huế", "Đà Nẵng", "Vinh"]}', None, 1)], GEN)
-    records = mcq.candidate_records(mcq.candidates(_raw(spark), gen, F.col("pos")).kept)
+def test_rule_check(records, change, want):
     meta = F.col("metadata")
     for k, v in change.items():
         meta = meta.withField(k, F.create_map(*(F.lit(x) for kv in v.items() for x in kv)) if isinstance(v, dict) else F.lit(v))
