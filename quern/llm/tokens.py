@@ -132,7 +132,7 @@ class Encoder:
 def encode(documents: DataFrame, path: str | None = None, long_text: int = 1_000_000) -> DataFrame:
     """doc_id, ids: every document's token ids, without special tokens.
 
-    Null text gives null, empty text an empty list. Repeated doc_ids are separate rows.
+    Null and empty texts give an empty list: every document has a list. Repeated doc_ids are separate rows.
     Texts of up to long_text characters are encoded where they are read. Longer ones are
     cut in parts that are encoded in parallel, cut where the pattern cuts if there is such a
     place, and put together by join otherwise.
@@ -144,9 +144,9 @@ def encode(documents: DataFrame, path: str | None = None, long_text: int = 1_000
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                packed = [None if t is None else enc.packed(t) for t in batch.column("text").to_pylist()]
-                ends = np.cumsum([0, *(len(p or b"") // 4 for p in packed)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32)), mask=pa.array([p is None for p in packed]))
+                packed = [enc.packed(t or "") for t in batch.column("text").to_pylist()]
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
     docs = documents.select("doc_id", "text")
