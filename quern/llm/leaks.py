@@ -8,6 +8,8 @@ with those of the items, and hits are extended to the stretch they belong to.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -115,12 +117,20 @@ class Item:
         if len(self.choices) != 4:
             self.choices = []
 
-    def fingerprints(self, cfg: LeakConfig) -> Iterator[tuple[int, int, bool]]:
-        """(hash, part, keyed) with part 0 for the question and 1 to 4 for the choices; keyed if a name or number is in it."""
+    def fingerprints(self, cfg: LeakConfig) -> Iterator[tuple[int, int]]:
+        """(hash, part) with part 0 for the question and 1 to 4 for the choices."""
         for part, tokens in enumerate([self.tokens, *self.choices]):
             h = gram_hashes(np.array(tokens, np.uint64), cfg.k)
             for p in winnow(h, cfg.window):
-                yield int(h[p]), part, part == 0 and (not self.keys or any(k in self.keys for k in range(p, p + cfg.k)))
+                yield int(h[p]), part
+
+    def least(self, cfg: LeakConfig) -> float:
+        """Number of fingerprints of the question that a stretch of share of it has wherever it stands, less those that changed words cost; 1 at least."""
+        h = gram_hashes(np.array(self.tokens, np.uint64), cfg.k)
+        # what a stretch keeps whatever stands around it: the smallest of each window that lies within
+        low = [int(h[p : p + cfg.window].min()) for p in range(len(h) - cfg.window + 1)]
+        n = max(1, math.ceil(cfg.share * len(self.tokens)) - cfg.k - cfg.window + 2)
+        return max(1.0, cfg.kept * min((len(set(low[p : p + n])) for p in range(max(1, len(low) - n + 1))), default=0))
 
 
 class ItemIndex:
@@ -130,12 +140,19 @@ class ItemIndex:
         self.cfg, th = cfg, TokenHashes()
         self.ids = [r[0] for r in rows]
         self.items = [Item(r[1], r[2], th) for r in rows]
-        prints = sorted({(h, i, part, keyed) for i, item in enumerate(self.items) for h, part, keyed in item.fingerprints(cfg)})
+        prints = sorted({(h, i, part) for i, item in enumerate(self.items) for h, part in item.fingerprints(cfg)})
         self.hash = np.array([p[0] for p in prints], np.uint64)
         self.slot = np.array([p[1] * 5 + p[2] for p in prints], np.int64)
-        self.keyed = np.array([p[3] for p in prints], bool)
+        self.least = np.array([item.least(cfg) for item in self.items])
         self.size = np.bincount(self.slot, minlength=5 * len(self.items))
         self.distinct = np.unique(self.hash)
+        gram = np.concatenate([item.grams for item in self.items] or [np.empty(0, np.uint64)])
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.owner = gram[order], np.repeat(np.arange(len(self.items)), [len(item.grams) for item in self.items])[order]
+        self.place, self.keyed = (np.concatenate([getattr(item, x) for item in self.items] or [np.empty(0, np.int64)])[order] for x in ("place", "keyed"))
+        self.need = np.array([cfg.share * len(item.tokens) - 1 for item in self.items])
+        self.may_gram = np.zeros(1 << 20, bool)
+        self.may_gram[self.gram >> np.uint64(44)] = True
         self.may = np.zeros(1 << 20, bool)  # by the top bits, to pass over most hashes cheaply
         self.may[self.distinct >> np.uint64(44)] = True
         self.first = np.searchsorted(self.hash, self.distinct, "left")
@@ -145,8 +162,9 @@ class ItemIndex:
     def candidates(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Rows (document, item) whose question, and rows whose choices, may stand in the document.
 
-        Question: a fingerprint with a name or number in it, and the least number that a
-        stretch of share of the question keeps. Choices: such a number of each of the four.
+        Question: the least number of fingerprints that a stretch of share of it keeps, with
+        or without a name or number in them, since winnowing may keep none that has one.
+        Choices: such a number of each of the four.
         """
         none = np.empty((0, 2), np.int64)
         if not len(self.distinct) or not len(batch.tokens):
@@ -174,15 +192,41 @@ class ItemIndex:
         slots = len(self.size)
         pair, count = np.unique(np.repeat(doc, n) * slots + self.slot[rows], return_counts=True)
         share, part = count / self.size[pair % slots], pair % slots % 5
-        keyed = np.unique(np.repeat(doc, n)[self.keyed[rows]] * (slots // 5) + self.slot[rows[self.keyed[rows]]] // 5)
-        asked = pair[(part == 0) & (share >= self.cfg.share * self.cfg.kept)] // 5
-        asked = asked[np.isin(asked, keyed)]
+        asked = pair[part == 0] // 5
+        asked = asked[count[part == 0] >= self.least[asked % (slots // 5)]]
+        asked = self._in_step(asked, batch)
         chosen, who = (part > 0) & (share >= self.cfg.kept), pair // 5
         ids, of = np.unique(who[chosen], return_inverse=True)
         all4 = ids[(np.bincount(of, minlength=len(ids)) == 4) & (np.bincount(of, share[chosen], minlength=len(ids)) >= 4 * self.cfg.kept_choices)] if len(ids) else ids
         return tuple(np.stack([x // (slots // 5), x % (slots // 5)], axis=1) for x in (asked, all4))
 
 
+    def _in_step(self, pairs: np.ndarray, batch: Batch) -> np.ndarray:
+        """Of the (document, item) pairs, those that have a part as _regions wants it, but for its share of names and numbers."""
+        h, at = batch.grams(3)
+        may = np.flatnonzero(self.may_gram[h >> np.uint64(44)])
+        h, at = h[may], at[may]
+        lo, hi = np.searchsorted(self.gram, h, "left"), np.searchsorted(self.gram, h, "right")
+        n = hi - lo
+        if not len(pairs) or not n.sum():
+            return pairs[:0]
+        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair = np.repeat(batch.doc[at], n) * len(self.items) + self.owner[rows]
+        own = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        ok = np.flatnonzero(pairs[own] == pair)
+        own, shift, rows = own[ok], np.repeat(at, n)[ok] - self.place[rows[ok]], rows[ok]
+        order = np.lexsort((shift, own))
+        own, shift, rows = own[order], shift[order], rows[order]
+        if not len(own):
+            return pairs[:0]
+        cuts = np.r_[0, np.flatnonzero((np.diff(own) != 0) | (np.diff(shift) > 3)) + 1]
+        count, place = np.diff(np.r_[cuts, len(own)]), self.place[rows]
+        span = np.maximum.reduceat(place, cuts) - np.minimum.reduceat(place, cuts) + 3
+        need = self.need[pairs[own[cuts]] % len(self.items)]
+        fit = (count >= 0.3 * need) & (span >= need - 2) & np.logical_or.reduceat(self.keyed[rows], cuts)
+        return pairs[np.unique(own[cuts][fit])]
+
+
 def _clusters(at: np.ndarray, gap: int) -> list[tuple[int, int]]:
     cuts = np.flatnonzero(np.diff(at) > gap) + 1
     return [(int(c[0]), int(c[-1])) for c in np.split(at, cuts)]
@@ -222,7 +266,8 @@ def _replaced(item: Item, doc: list[int], i: int, j: int, step: int, span: int)
     if far == i:
         return False
     if not 0 <= far < n:
-        return span >= 0.75 * n
+        # or the stretch holds only a part of the name
+        return span >= 0.75 * n or (0 <= j < len(doc) and i - step in item.keys)
     # the name there may be a syllable longer or shorter, or partly the same
     return any(0 <= p < len(doc) and doc[p] == item.tokens[far] for p in range(j, j + (far - i) + 2 * step, step))
 
@@ -388,18 +433,21 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, cfg: LeakConfig) -> Data
             out = []
             for i, q, c in zip(part["item_id"], part["question"], part["choices"]):
                 c = dict(c) if c is not None else None
-                out += [(i, int(np.uint64(h).view(np.int64)), p, keyed) for h, p, keyed in set(Item(q, c, th).fingerprints(cfg))]
-            yield pd.DataFrame(out, columns=["item_id", "print", "part", "keyed"])
-
-    prints = materialize(items.mapInPandas(item_prints, "item_id bigint, print bigint, part int, keyed boolean"), "item-prints")
-    sizes = prints.groupBy("item_id", "part").agg(F.count("*").alias("size"))
+                item = Item(q, c, th)
+                prints, least = set(item.fingerprints(cfg)), item.least(cfg)
+                size = Counter(p for _, p in prints)
+                out += [(i, int(np.uint64(h).view(np.int64)), p, least if p == 0 else cfg.kept * size[p]) for h, p in prints]
+            yield pd.DataFrame(out, columns=["item_id", "print", "part", "least"])
+
+    prints = materialize(items.mapInPandas(item_prints, "item_id bigint, print bigint, part int, least double"), "item-prints")
+    sizes = prints.groupBy("item_id", "part").agg(F.count("*").alias("size"), F.first("least").alias("least"))
     doc_prints = docs.mapInPandas(lambda parts: _prints(parts, cfg), "doc_id bigint, print bigint")
     # per part of an item first, so that only counts are shuffled on
-    hits = doc_prints.join(prints, "print").groupBy("doc_id", "item_id", "part").agg(F.count("*").alias("n"), F.max("keyed").alias("keyed"))
-    hits = hits.join(sizes, ["item_id", "part"]).withColumn("left", F.col("n") / F.col("size")).withColumn("ok", F.col("n") >= F.when(F.col("part") == 0, cfg.share).otherwise(1.0) * cfg.kept * F.col("size"))
+    hits = doc_prints.join(prints, "print").groupBy("doc_id", "item_id", "part").agg(F.count("*").alias("n"))
+    hits = hits.join(sizes, ["item_id", "part"]).withColumn("left", F.col("n") / F.col("size")).withColumn("ok", F.col("n") >= F.col("least"))
     pairs = (
         hits.groupBy("doc_id", "item_id")
-        .agg(F.max((F.col("part") == 0) & F.col("keyed") & F.col("ok")).alias("asked"), F.count(F.when((F.col("part") > 0) & F.col("ok"), 1)).alias("offered"), F.sum(F.when(F.col("part") > 0, F.col("left"))).alias("left"))
+        .agg(F.max((F.col("part") == 0) & F.col("ok")).alias("asked"), F.count(F.when((F.col("part") > 0) & F.col("ok"), 1)).alias("offered"), F.sum(F.when(F.col("part") > 0, F.col("left"))).alias("left"))
         .filter(f"asked or (offered = 4 and left >= {4 * cfg.kept_choices})")
         .select("doc_id", "item_id")
     )

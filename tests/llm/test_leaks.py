@@ -55,6 +55,27 @@ def test_cases(text, want):
     assert {i for _, i, _ in batch_leaks([text], index, TokenHashes())} == want
 
 
+def _ended(year):
+    return f"Nghĩa quân vùng sông nước đã chọn nơi nào làm căn cứ trong những năm {year}"
+
+
+def test_the_only_name_or_number_may_stand_at_the_edge():
+    years = range(1800, 1900)
+    index = ItemIndex([(y, _ended(y), None) for y in years], LeakConfig())
+    texts = [PAD + " ".join(_ended(y).split()[-11:]) + ". " + PAD for y in years]
+    assert batch_leaks(texts, index, TokenHashes()) == [(n, y, "question") for n, y in enumerate(years)]
+    # a part of another name is no case
+    item = (1, "Ngao Ngong được nhiều người nhớ tới nhờ điệu hò kéo lưới và tiếng chuông buổi chiều. Cuộc họp của các làng năm 1987 đã đưa đến quyết định nào?", None)
+    assert not batch_leaks([PAD + item[1][:85].replace("Ngao", "Khao") + PAD], ItemIndex([item], LeakConfig()), TokenHashes())
+
+
+def test_shuffle_keeps_names_at_the_edge(spark):
+    items = spark.createDataFrame([(y, _ended(y), None) for y in range(1870, 1880)], "item_id bigint, question string, choices map<string,string>")
+    docs = spark.createDataFrame([(y, " ".join(_ended(y).split()[-11:])) for y in range(1870, 1880)], "doc_id bigint, text string")
+    got = leaks.find_leaks(docs, items, LeakConfig(index_rows=0)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(y, y) for y in range(1870, 1880)]
+
+
 def _frames(spark):
     items = spark.createDataFrame(ITEMS, "item_id bigint, question string, choices map<string,string>").withColumn("text", F.lit("clash"))
     docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(CASES)] + [(100, Q1), (101, Q1 + "x " * 200_000)], "doc_id bigint, text string").withColumn("item_id", F.lit(0))
