@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quern.llm import prose
 from quern.llm.prose import COLUMNS, divergence, quality, statistics
 
 COMMON = frozenset("và của là có được trong the of and".split())
@@ -37,6 +39,24 @@ def test_divergence():
     assert divergence((0.7, 0.3), (0.2, 0.8)) == pytest.approx(divergence((0.2, 0.8), (0.7, 0.3)))
 
 
+def test_words_and_characters_take_part(monkeypatch):
+    # equal lines, with and without function words
+    with_words, without = "Khi nước lên, bà con của làng và những người thợ đến bến.", "Sông dâng cao, dân chài, thợ đan, thợ mộc, thợ nề chạy bè."
+    a, b = statistics(with_words, COMMON), statistics(without, COMMON)
+    assert a[-1] == b[-1] == "prose" and a[5] != b[5]
+    monkeypatch.setattr("quern.llm.prose.PROFILES", dict.fromkeys(("prose", "list", "table", "junk"), (0.25,) * 4))
+    every = frozenset(w for words, _ in prose.LANGUAGES.values() for w in words)
+    table = "\n".join(f"{n}\tHuế\t{n * 317}\t{n * 41}" for n in range(9))
+    assert [statistics(t, every)[-1] for t in (PROSE, table, "^%~#|<>@*" * 20)] == ["prose", "table", "junk"]
+
+
+def test_languages_of_the_word_list_count(spark):
+    df = spark.createDataFrame([(1, "The boats of the village lay on the shore in the rain, and a dog was with the men.")], "doc_id bigint, text string")
+    words = spark.createDataFrame([(w, "en") for w in ("the", "of", "and", "a", "in")], "word string, lang string")
+    far = [quality(df, x).first().from_prose for x in (words, words.withColumn("lang", F.lit("vi")))]
+    assert far[0] < far[1]
+
+
 def test_frame(spark):
     rows = [(n, t, "clash") for n, (t, _) in enumerate(KINDS)] + [(99, None, ""), (0, KINDS[0][0], ""), (100, "x y " * 300_000, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
