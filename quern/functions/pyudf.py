@@ -10,6 +10,7 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def char_classes(c: Column) -> Column:
+    """Numbers of characters by code point modulo 32; texts must not be null."""
+
+    @F.pandas_udf("array<int>")
+    def counts(x: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32) for t in x])
+
+    return counts(c)
+
+
 def shuffled_labels(seed: str) -> list[str]:
     """A to D in an order fixed by the SHA-1 of the seed's hash form."""
     form = re.sub(r"\s+", " ", seed.replace("\u00a0", " ").lower().strip())

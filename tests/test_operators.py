@@ -170,6 +170,24 @@ def test_leak_ratio(spark):
     assert leakage.first_leak(cand, bench, ratio=True).first().reason == "near_duplicate_question"
 
 
+def test_leak_contexts_by_containment_and_ratio(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghiklmnopqrstuvxy") for _ in range(6))
+    inner = " ".join(word() for _ in range(12))
+    typed = " ".join(w[:2] + "z" + w[3:] if n % 2 else w for n, w in enumerate(inner.split()))  # one letter in every other word
+    joined = "ai là vua đầu tiên của nước ta ngày xưa kia"
+    assert SequenceMatcher(None, typed, inner).ratio() >= 0.86
+    bench = _leak_frame(spark, [(1, None, None, inner, None), (2, joined, None, None, None), (3, None, None, "xyz", None)])
+    cand = _leak_frame(spark, [
+        (10, None, None, " ".join(word() for _ in range(60)) + " " + inner + " " + " ".join(word() for _ in range(60)), None), (11, None, None, inner[20:60], None),
+        (12, None, None, typed, None), (13, joined.replace(" ", "", 7), None, None, None), (14, None, None, "khác hẳn, uxyzo", None), (15, None, None, "khác hẳn", None),
+    ])
+    got = {r.id: (r.reason, r.benchmark_id) for r in leakage.first_leak(cand, bench, ratio=True).collect()}
+    context = "high_context_overlap"
+    ratio = SequenceMatcher(None, joined.replace(" ", "", 7), joined).ratio()
+    assert ratio >= 0.88 and got == {10: (context, 1), 11: (context, 1), 12: (context, 1), 13: ("near_duplicate_question", 2), 14: (context, 3), 15: (None, None)}
+
+
 def test_materialize_uses_the_shared_folder(spark):
     folder = materialize.shared_dir(spark)
     again = materialize.materialize(spark.range(5), "t")
