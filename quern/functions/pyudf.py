@@ -8,9 +8,9 @@ import json
 import random
 import re
 import unicodedata
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,16 +47,6 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def char_classes(c: Column) -> Column:
-    """Numbers of characters by code point modulo 32; texts must not be null."""
-
-    @F.pandas_udf("array<int>")
-    def counts(x: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32) for t in x])
-
-    return counts(c)
-
-
 def shuffled_labels(seed: str) -> list[str]:
     """A to D in an order fixed by the SHA-1 of the seed's hash form."""
     form = re.sub(r"\s+", " ", seed.replace("\u00a0", " ").lower().strip())
@@ -137,31 +127,60 @@ PLAIN = {"literal_backslash_n": r"\\n", "html_entity": r"&[a-zA-Z]+;"}
 STRICT = {"broken_placeholder": r"\{\s*\}|\[\s*\]", "raw_latex_begin": r"\\begin", "raw_latex_end": r"\\end"}
 
 
-def delimiters(text: str) -> list[int]:
-    """Places of dollar signs that aren't money."""
-    money = {m.start() for m in MONEY.finditer(text)}
-    return [k for k, c in enumerate(text) if c == "$" and k not in money]
-
-
-def _outside(text: str, pattern: re.Pattern) -> list[re.Match]:
-    marks = delimiters(text)
-    return [m for m in pattern.finditer(text) if sum(k < m.start() for k in marks) % 2 == 0]
+#: a sign of money, or one that opens or closes a formula; amounts are tried first
+_SIGN = re.compile(rf"(?P<money>{MONEY.pattern})|\$")
+
+
+def formulas(text: str) -> tuple[list[tuple[int, int]], bool]:
+    """Stretches between dollar signs that aren't money, in order, and whether the last of them is left open (to the end)."""
+    found, opened = [], None
+    at = 0
+    while (m := _SIGN.search(text, at)) is not None:
+        # only the sign is passed over: an amount may hold no other
+        at = m.start() + 1
+        if m["money"]:
+            continue
+        if opened is None:
+            opened = m.start()
+        else:
+            found.append((opened, m.start()))
+            opened = None
+    if opened is not None:
+        found.append((opened, len(text)))
+    return found, opened is not None
+
+
+def _bare(text: str, pattern: re.Pattern) -> list[re.Match]:
+    """Matches of a pattern that don't begin within a formula."""
+    found = list(pattern.finditer(text))
+    if not found or "$" not in text:
+        return found
+    within, _ = formulas(text)
+    starts = [a for a, _ in within]
+    out = []
+    for m in found:
+        k = bisect_left(starts, m.start()) - 1
+        if k < 0 or m.start() > within[k][1]:
+            out.append(m)
+    return out
 
 
 def formula_flags(text: str, strict: bool = False) -> list[str]:
     """Sorted flags of what is wrong with the formulas of a text; strict adds three checks."""
-    out = {"unbalanced_math_dollar"} if len(delimiters(text)) % 2 else set()
-    out |= {flag for flag, p in BARE.items() if _outside(text, p)}
+    out = {"unbalanced_math_dollar"} if "$" in text and formulas(text)[1] else set()
+    out |= {flag for flag, p in BARE.items() if _bare(text, p)}
     out |= {flag for flag, p in (PLAIN | (STRICT if strict else {})).items() if re.search(p, text)}
     return sorted(out)
 
 
 def wrap_formulas(text: str) -> str:
-    """Fractions, roots and powers outside dollar signs put between them, one kind after the other."""
+    """Fractions, roots and powers outside formulas put between dollar signs, one kind after the other."""
     for pattern in BARE.values():
-        found = _outside(text, pattern)
-        for m in reversed(found):
-            text = f"{text[: m.start()]}${m[0]}${text[m.end() :]}"
+        done, out = 0, []
+        for m in _bare(text, pattern):
+            out += [text[done : m.start()], "$", m[0], "$"]
+            done = m.end()
+        text = "".join([*out, text[done:]]) if out else text
     return text
 
 

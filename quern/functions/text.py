@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # Words left out of n-grams.
 STOPWORDS = (
-    "là của và các một những cho trong với được này đó nào sau đây về khi có không từ theo để ở bởi như thì ra vào trên "
-    "dưới nên rằng hay hoặc đã sẽ bị làm đến nhiều hơn nhất nếu vì do mà nó anh chị người câu hỏi"
-).split()
+    "là", "của", "và", "các", "một", "những", "cho", "trong", "với", "được", "này", "đó", "nào", "sau", "đây", "về", "khi", "có",
+    "không", "từ", "theo", "để", "ở", "bởi", "như", "thì", "ra", "vào", "trên", "dưới", "nên", "rằng", "hay", "hoặc", "đã", "sẽ",
+    "bị", "làm", "đến", "nhiều", "hơn", "nhất", "nếu", "vì", "do", "mà", "nó", "anh", "chị", "người", "câu", "hỏi",
+)
 # Phrasings of questions.
 TEMPLATES = {
     "which_of_the_following_vi": "điều nào sau đây|phát biểu nào sau đây|cái nào sau đây|trong số.*sau đây",
@@ -47,14 +48,23 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space of any kind, no-break spaces included.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def plain_spaces(c: Column | str) -> Column:
+    """White space of any kind as spaces, character by character."""
+    return F.translate(_c(c), SPACES, " " * len(SPACES))
+
+
 def collapse(c: Column | str) -> Column:
     """Runs of Unicode white space, no-break spaces included, as one space."""
-    return F.regexp_replace(_c(c), r"(?U)[\s\u00a0]+", " ")
+    return F.regexp_replace(plain_spaces(c), " {2,}", " ")
 
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(_c(c), r"(?U)\A[\s\u00a0]+|[\s\u00a0]+\z", "")
+    return F.btrim(_c(c), F.lit(SPACES))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -120,7 +130,7 @@ def has_markers(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Pieces between white space; an empty array for null and blank."""
-    return F.filter(F.split(F.coalesce(_c(c), F.lit("")), r"(?U)[\s\u00a0]+"), lambda x: x != "")
+    return F.filter(F.split(plain_spaces(F.coalesce(_c(c), F.lit(""))), " "), lambda x: x != "")
 
 
 def content_words(c: Column | str) -> Column:
@@ -138,15 +148,40 @@ def preview(c: Column | str, n: int = 200) -> Column:
     return F.left(_c(c), F.lit(n))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once per row: a lambda's variable is never expanded where it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(tokens: Column, n: int, form, empty: str) -> Column:
+    """form of each n consecutive elements; an empty array of the type if there are fewer."""
+    some = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: form(F.slice(t, i, n)))
+    return let(tokens, lambda t: F.when(F.size(t) >= n, some(t)).otherwise(F.array().cast(empty)))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """n-grams of an array, joined by spaces; an empty array if it is shorter."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    return _windows(tokens, n, lambda w: F.array_join(w, " "), "array<string>")
+
+
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the distinct n-grams of an array; an empty array if it is shorter."""
+    return F.array_distinct(_windows(tokens, n, lambda w: F.xxhash64(w), "array<bigint>"))
+
+
+def characters(c: Column | str) -> Column:
+    """Array of the characters of a text."""
+    return F.filter(F.split(_c(c), ""), lambda x: x != "")
 
 
 def char_ngrams(c: Column | str, n: int) -> Column:
     """Distinct character n-grams; an empty array if the text is shorter."""
-    t = _c(c)
-    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_windows(characters(c), n, lambda w: F.array_join(w, ""), "array<string>"))
+
+
+def char_ngram_hashes(c: Column | str, n: int) -> Column:
+    """64-bit hashes of the distinct character n-grams; an empty array if the text is shorter."""
+    return ngram_hashes(characters(c), n)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -7,26 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.materialize import broadcast_if_small, materialize
+from quern.operators.ranking import SLICE, take_by_permutation
+
 
 def split_groups(df: DataFrame, group: str, order: Column, parts: Sequence[tuple[str, float]], rest: str) -> DataFrame:
-    """df with column split: floor(n * share) rows of each group per part, the remainder as rest.
+    """df with column split: the first floor(n * share) rows of each group per part, the remainder as rest.
 
-    Rows are ranked by order, which should be a unique content key. Ranks come from
-    counts per slice of the key (its first three hexadecimal digits) and ranks within a
-    slice, so no task sorts a whole group. order is a hexadecimal string.
+    order is a hexadecimal string, such as a salted content key; null keys come first and
+    rows of equal keys stay together, in the earlier part. Only the keys at which a part
+    ends are looked for: counts per leading digits, as many as leave about SLICE rows,
+    give the slice it ends in, and that slice alone is ordered. Rows are then compared
+    with these keys, without a shuffle while the groups are few. Null groups are a group.
     """
-    keyed = df.withColumn("_o", order).withColumn("_s", F.left("_o", F.lit(3)))
-    counts = keyed.groupBy(F.col(group).alias("_g"), F.col("_s").alias("_s2")).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy("_g").orderBy("_s2")
-    whole = Window.partitionBy("_g")
-    offsets = counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).withColumn("_total", F.sum("_n").over(whole)).drop("_n")
-    placed = keyed.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_s2")))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(group, "_s").orderBy("_o"))
-    upto, cond = F.lit(0), None
-    for name, share in parts:
+    keyed = materialize(df.select(F.col(group).alias("_g"), F.coalesce(order, F.lit("")).alias("_o")), "split-keys")
+    total = broadcast_if_small(materialize(keyed.groupBy("_g").agg(F.count("*").alias("_total")), "split-totals"))
+    largest = total.agg(F.max("_total")).first()[0] or 0
+    digits = 1
+    while largest > SLICE * 16**digits:
+        digits += 1
+    keyed = keyed.withColumn("_s", F.left("_o", F.lit(digits)))
+    counts = keyed.groupBy("_g", "_s").agg(F.count("*").alias("_n"))
+    run = Window.partitionBy("_g").orderBy("_s")
+    offsets = counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n"))
+    offsets = offsets.join(total.withColumnRenamed("_g", "_tg"), F.col("_g").eqNullSafe(F.col("_tg"))).drop("_tg")
+    ends, upto = [], F.lit(0).cast("bigint")
+    for n, (_, share) in enumerate(parts):
         upto = upto + F.floor(F.col("_total") * F.lit(float(share)))
-        cond = F.when(F.col("_rank") <= upto, name) if cond is None else cond.when(F.col("_rank") <= upto, name)
-    return placed.withColumn("_rank", rank).withColumn("split", cond.otherwise(rest)).drop("_o", "_s", "_g", "_s2", "_before", "_total", "_rank")
+        ends.append(F.struct(F.lit(n).alias("part"), upto.alias("end")))
+    cuts = offsets.withColumn("_e", F.explode(F.array(*ends))).filter("_e.end > _before and _e.end <= _before + _n")
+    cuts = broadcast_if_small(materialize(cuts.select(F.col("_g").alias("_cg"), F.col("_s").alias("_cs"), "_e.part", (F.col("_e.end") - F.col("_before")).alias("_k")), "split-cuts"))
+    at_cut = keyed.join(cuts.select("_cg", "_cs").distinct(), F.col("_g").eqNullSafe(F.col("_cg")) & (F.col("_s") == F.col("_cs"))).drop("_cg", "_cs")
+    placed = at_cut.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_s").orderBy("_o")))
+    last = placed.join(cuts, F.col("_g").eqNullSafe(F.col("_cg")) & (F.col("_s") == F.col("_cs")) & (F.col("_r") == F.col("_k")))
+    bounds = last.groupBy(F.col("_g").alias("_bg")).agg(*(F.max(F.when(F.col("part") == n, F.col("_o"))).alias(f"_b{n}") for n in range(len(parts))))
+    bounds = broadcast_if_small(materialize(bounds, "split-bounds"))
+    own = df.withColumn("_o", F.coalesce(order, F.lit(""))).join(bounds, F.col(group).eqNullSafe(F.col("_bg")), "left")
+    cond = F.when(F.lit(False), "")
+    for n, (name, _) in enumerate(parts):
+        cond = cond.when(F.col("_o") <= F.col(f"_b{n}"), name)
+    return own.withColumn("split", cond.otherwise(rest)).drop("_o", "_bg", *(f"_b{n}" for n in range(len(parts))))
 
 
 def sample_by_key(df: DataFrame, order: Column, n: int) -> DataFrame:
@@ -34,13 +54,28 @@ def sample_by_key(df: DataFrame, order: Column, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def accepted_prefix(df: DataFrame, accepted: Column, position: str, cap: int, slices: int = 1024) -> DataFrame:
+def capped_parts(df: DataFrame, part: str, task: str, order: Column, cap: int, cap_part: str = "train") -> DataFrame:
+    """df without the rows of cap_part beyond the first cap of each task, in the order of a key: no task has more in the mix.
+
+    order is a hexadecimal string, unique within a task. A task with fewer rows keeps all.
+    Only the slices where a cap falls are ordered (take_by_permutation's counts).
+    """
+    own = F.col(part) == cap_part
+    keyed = df.filter(own).withColumn("_key", order)
+    quotas = keyed.select(task).distinct().withColumn("quota", F.lit(cap))
+    kept = take_by_permutation(keyed, [task], "_key", quotas).drop("_key")
+    return df.filter(~F.coalesce(own, F.lit(False))).unionByName(kept)
+
+
+def accepted_prefix(df: DataFrame, accepted: Column, position: str, cap: int) -> DataFrame:
     """The rows up to the one with the cap-th accepted row, by position: what a reader sees that stops there.
 
-    Counts per range of positions find the range in which the cap is reached; only that
-    range is ordered.
+    Counts per range of positions, as many as leave about SLICE rows in each, find the
+    range in which the cap is reached; only that range is ordered.
     """
-    span = df.agg(F.min(position).alias("lo"), F.max(position).alias("hi"))
+    span = materialize(df.agg(F.min(position).alias("lo"), F.max(position).alias("hi"), F.count("*").alias("_all")), "span")
+    slices = max(1024, span.first()["_all"] // SLICE)
+    span = span.drop("_all")
     ranged = df.join(F.broadcast(span), F.lit(True)).withColumn("_s", F.floor((F.col(position) - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1)))
     counts = ranged.groupBy("_s").agg(F.count_if(accepted).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") < cap)

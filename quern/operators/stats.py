@@ -8,19 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import TEMPLATES, ngrams
+from quern.operators.materialize import materialize
+from quern.operators.ranking import sliced
 
 
 def rank_percentiles(df: DataFrame, value: Column, points: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
     """One column per point: the value at index floor(n * p) of the sorted values, and max_value; null for an empty table.
 
-    Works on counts of distinct values, so the rows are not sorted.
+    Nulls are left out. Works on counts of distinct values, cut in ranges: sums of the
+    ranges, of which there are few, give the range a point is in, and each range is summed
+    up on its own.
     """
-    counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    run = Window.orderBy("v")
-    cum = counts.withColumn("upto", F.sum("n").over(run))
-    total = counts.agg(F.sum("n").alias("total"))
-    joined = cum.join(F.broadcast(total), F.lit(True))
-    return joined.agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("total") * F.lit(float(p))), F.col("v"))).alias(f"p{round(p * 100)}") for p in points), F.max("v").alias("max_value"))
+    counts = sliced(materialize(df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n")), "value-counts"), "v")
+    sums = counts.groupBy("_slice").agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col("_slice").alias("_s"), before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    upto = F.sum("n").over(Window.partitionBy("_slice").orderBy("v"))
+    joined = counts.withColumn("_upto", upto).join(F.broadcast(offsets), F.col("_slice") == F.col("_s")).withColumn("upto", F.col("_before") + F.col("_upto"))
+    return joined.agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("_total") * F.lit(float(p))), F.col("v"))).alias(f"p{round(p * 100)}") for p in points), F.max("v").alias("max_value"))
 
 
 def ngram_counts(df: DataFrame, tokens: Column, n: int) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quern.functions.keys import choices_key, context_key, mcq_key
 from quern.functions.mcq import ANSWER, answer_label, chat, labelled_lines, message, parse_reading_mcq, parse_wrapped, render, render_reading_mcq
 from quern.functions.pyudf import literal_list, math_fixed, math_flags, placed, sequence_ratio
-from quern.functions.text import ENGLISH_LEFT, answer_letter, choice_form, clean_choice, clean_question, clean_text, explained_answer, grade_difficulty, has_label, hash_form, jaccard, ordinal_letter, strip, words
+from quern.functions.text import ENGLISH_LEFT, answer_letter, choice_form, clean_choice, clean_question, clean_text, explained_answer, grade_difficulty, has_label, hash_form, jaccard, let, ordinal_letter, strip, words
 from quern.operators.dedup import keep_first_kept
 from quern.operators.lookup import fallback_join, first_by_key
+from quern.operators.materialize import materialize
 from quern.operators.rules import RuleSet, blank, missing
 from quern.operators.stage import Stage, expect
 from quern.schema import LABELS, MCQ_METADATA
@@ -113,8 +114,8 @@ def math_triage(rows: DataFrame, issues: DataFrame, key: str, text: str) -> Data
     """rows with before_flags, after_flags, fixed and action for those in the worklist (key); others are kept as they are."""
     marked = rows.join(issues.select(F.col(key).alias("_issue")).distinct(), F.col(key) == F.col("_issue"), "left")
     listed = F.when(F.col("_issue").isNotNull(), F.col(text))
-    out = marked.withColumn("before_flags", math_flags(listed, strict=True))
-    out = out.withColumn("_new", F.when(F.size("before_flags") > 0, math_fixed(listed))).withColumn("after_flags", math_flags(F.col("_new"), strict=True))
+    out = marked.withColumn("before_flags", strict_flags(listed))
+    out = out.withColumn("_new", F.when(F.size("before_flags") > 0, math_fixed(listed))).withColumn("after_flags", strict_flags(F.col("_new")))
     action = F.when(F.col("_issue").isNull(), "keep").when(F.size("before_flags") == 0, "keep_false_positive").when((F.size("after_flags") == 0) & valid_prompt(F.col("_new")), "fixed_by_rule").otherwise("drop_unresolved_math_format_issue")
     return out.withColumn("action", action).withColumn("fixed", F.when(F.col("action") == "fixed_by_rule", F.col("_new")).otherwise(F.col(text))).drop("_new", "_issue")
 
@@ -127,12 +128,95 @@ def valid_prompt(content: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def strict_flags(content: Column) -> Column:
+    """All flags of a prompt's formulas and form, sorted; empty for null."""
+    form = F.when(content.isNotNull() & ~valid_prompt(content), F.array(F.lit("invalid_user_content_format"))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.concat(math_flags(content, strict=True), form))
+
+
+# Subjects whose records are checked, and what looks suspicious in them.
+MATH_SUBJECTS = (
+    "abstract_algebra",
+    "elementary_mathematics",
+    "high_school_mathematics",
+    "high_school_statistics",
+    "conceptual_physics",
+    "high_school_physics",
+    "high_school_chemistry",
+    "astronomy",
+)
+SUSPICIOUS = {
+    "raw_latex_frac": r"\\frac",
+    "raw_latex_sqrt": r"\\sqrt",
+    "raw_latex_begin": r"\\begin",
+    "raw_latex_end": r"\\end",
+    "raw_newline_escape": r"\\n",
+    "unbalanced_dollar": r"\$",
+    "double_backslash": r"\\\\",
+    "html_entity": r"&[a-zA-Z]+;",
+    "markdown_table_pipe": r"\|",
+    "multiple_underscores": r"__+",
+    "caret_power": r"\^",
+    "subscript_underscore": r"_[A-Za-z0-9]",
+    "broken_placeholder": r"\{\s*\}|\[\s*\]",
+}
+
+
+def format_flags(content: Column) -> Column:
+    """Names of the suspicious patterns of a prompt's question and choices; unbalanced_dollar only if their number is odd.
+
+    Null unless the prompt can be parsed.
+    """
+    p = parse_wrapped(content)
+    text = F.concat_ws("\n", *(p[x] for x in ("question", *LABELS)))
+    return F.when(p.isNotNull(), let(text, lambda t: RuleSet([(k, t.rlike(v) if k != "unbalanced_dollar" else odd_count(t, "$")) for k, v in SUSPICIOUS.items()]).all_flags()))
+
+
+def odd_count(text: Column, sign: str) -> Column:
+    """Whether a sign occurs an odd number of times."""
+    return (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))) % 2 == 1
+
+
+def format_issues(rows: DataFrame, content: Column, subject: Column, subjects: tuple[str, ...] = MATH_SUBJECTS) -> DataFrame:
+    """rows of the subjects with flags, those without any left out; null and other subjects have none."""
+    return rows.filter(subject.isin(*subjects)).withColumn("flags", format_flags(content)).filter(F.size("flags") > 0)
+
+
 def fix_reason(original: Column, fixed: Column) -> Column:
     """Why a repaired prompt can't replace the original; null if it can."""
     a, b = parse_wrapped(original), parse_wrapped(fixed)
     return RuleSet([("empty_fixed_text", blank(fixed)), ("invalid_user_content_format", ~valid_prompt(fixed)), ("choice_labels_changed", a.isNotNull() & b.isNull())]).first_reason()
 
 
+# What a repair can come to, by rule first and by a model's answer then.
+BY_RULE = ("missing_source_id_in_jsonl", "invalid_original_user_content", "rule_fix_rejected", "fixed_by_rule", "false_positive_or_no_change_needed", "needs_gemini")
+BY_MODEL = ("gemini_fix_rejected", "fixed_by_gemini", "gemini_batch_failed")
+
+
+def repair_log(rows: DataFrame, issues: DataFrame, answers: DataFrame, key: str = "source_id", text: str = "text") -> DataFrame:
+    """key, status, reason, before_flags, after_flags, fixed: a row per issue and, where a rule didn't do, per answer of the model.
+
+    rows: key (of repeated keys the row with the last text counts), text. issues: key; each
+    is logged, repeated ones as often. answers: key, fixed, failed (the batch had an
+    error); an issue that needs the model and has no answer keeps its one row. fixed is
+    what replaces the text, null where nothing does.
+    """
+    texts = rows.groupBy(F.col(key).alias("_k")).agg(F.max(text).alias("_t"), F.lit(True).alias("_there"))
+    t = issues.select(key).join(texts, F.col(key) == F.col("_k"), "left").withColumn("_new", math_fixed(F.col("_t")))
+    t = t.withColumn("before_flags", math_flags(F.col("_t"))).withColumn("after_flags", math_flags(F.col("_new"))).withColumn("reason", fix_reason(F.col("_t"), F.col("_new")))
+    status = (
+        F.when(F.col("_there").isNull(), BY_RULE[0]).when(~valid_prompt(F.col("_t")), BY_RULE[1]).when(F.col("reason").isNotNull(), BY_RULE[2])
+        .when((F.size("after_flags") == 0) & (F.col("_new") != F.col("_t")), BY_RULE[3]).when(F.size("after_flags") == 0, BY_RULE[4]).otherwise(BY_RULE[5])
+    )
+    t = materialize(t.withColumn("status", status), "repairs")
+    first = t.select(key, "status", F.when(F.col("status") == BY_RULE[2], F.col("reason")).alias("reason"), "before_flags", "after_flags", F.when(F.col("status") == BY_RULE[3], F.col("_new")).alias("fixed"))
+    asked = t.filter(F.col("status") == BY_RULE[5]).select(key, "_t").join(answers.select(F.col(key).alias("_a"), F.col("fixed").alias("_f"), F.coalesce("failed", F.lit(False)).alias("_failed")), F.col(key) == F.col("_a"))
+    asked = asked.withColumn("_why", F.when(~F.col("_failed"), fix_reason(F.col("_t"), F.col("_f")))).withColumn("_flags", math_flags(F.col("_f")))
+    outcome = F.when(F.col("_failed"), BY_MODEL[2]).when(F.col("_why").isNotNull(), BY_MODEL[0]).otherwise(BY_MODEL[1])
+    second = asked.select(key, outcome.alias("status"), F.col("_why").alias("reason"), F.lit(None).cast("array<string>").alias("before_flags"), F.when(~F.col("_failed"), F.col("_flags")).alias("after_flags"), F.when(outcome == BY_MODEL[1], F.col("_f")).alias("fixed"))
+    return first.unionByName(second)
+
+
 # Generated distractors
 
 
@@ -211,7 +295,13 @@ def rule_check(records: DataFrame, position: str, source_dataset: Column | None
     r = records.withColumn("_c", _choices(m)).withColumn("_f", F.transform("_c", choice_form)).withColumn("_g", choice_form(m["gold_answer_text"])).withColumn("_p", parse_reading_mcq(message(F.col("messages"), "user")))
     label = answer_label(message(F.col("messages"), "assistant"))
     long, short = F.array_max(F.transform("_c", F.length)), F.array_min(F.transform("_c", F.length))
-    others = F.filter("_f", lambda x: x != F.col("_g"))
+    # of the distractors in their order, the first that fails decides
+    right = F.array_position(F.array(*(F.lit(x) for x in LABELS)), m["answer"]).cast("int") - 1
+    against = F.get("_f", right)
+    told = F.transform("_f", lambda x, k: F.when(k == right, None).when((F.col("_g") != "") & F.contains(x, F.col("_g")), "distractor_contains_gold").when(near_duplicate(against, x), "distractor_matches_gold"))
+    distractor = F.get(F.array_compact(told), F.lit(0))
+    # likewise of the choices
+    size = F.get(F.array_compact(F.transform("_c", lambda x: F.when(F.length(x) > CHOICE_MAX, "choice_too_long").when(choice_form(x).isin(*BANNED_CHOICES), "banned_option_text"))), F.lit(0))
     at = F.get("_f", F.array_position(F.array(*(F.lit(x) for x in LABELS)), m["answer"]).cast("int") - 1)
     rules = RuleSet([
         ("invalid_messages", F.coalesce(F.size("messages") != 2, F.lit(True)) | message(F.col("messages"), "user").isNull()),
@@ -224,9 +314,8 @@ def rule_check(records: DataFrame, position: str, source_dataset: Column | None
         ("duplicate_choices_normalized", F.size(F.array_distinct("_f")) != 4),
         ("gold_answer_missing_from_choices", ~F.array_contains("_f", F.col("_g"))),
         ("gold_answer_label_mismatch", at != F.col("_g")),
-        ("choice_too_long", long > CHOICE_MAX),
-        ("banned_option_text", F.exists("_f", lambda x: x.isin(*BANNED_CHOICES))),
-        ("distractor_matches_gold", F.exists(others, lambda x: near_duplicate(F.col("_g"), x))),
+        (size, size.isNotNull()),
+        (distractor, distractor.isNotNull()),
         ("choice_length_imbalance", (long >= IMBALANCE_FROM) & (long >= RATIO_MAX * short)),
         ("missing_choices", F.col("_p").isNull()),
         ("missing_context_or_question", blank(F.col("_p.context")) | blank(F.col("_p.question"))),

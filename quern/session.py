@@ -23,13 +23,13 @@ def ship(spark: SparkSession) -> None:
     context._quern_shipped = True
 
 
-def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, app: str = "quern") -> SparkSession:
-    """A local session with the settings every plan here is written for.
+def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, app: str = "quern", extra: dict[str, str] | None = None) -> SparkSession:
+    """A local session with the settings every plan here is written for, and extra ones.
 
     On a cluster the session comes from the submitter; nothing in the library
     changes its settings.
     """
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -38,5 +38,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
+    return builder.getOrCreate()

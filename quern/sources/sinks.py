@@ -21,16 +21,23 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("sep", sep).csv(path)
 
 
-def report(counts: DataFrame) -> str:
-    """A small table of counts as indented JSON. For reports, whose size doesn't grow with the rows."""
-    rows = [json.loads(x) for x in counts.toJSON().take(10_000)]
+def report(counts: DataFrame, limit: int = 10_000) -> str:
+    """A small table of counts as indented JSON; more than limit rows are an error, never cut: such a table is to be written as rows."""
+    rows = [json.loads(x) for x in counts.toJSON().take(limit + 1)]
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows: use write_jsonl")
     return json.dumps(rows, ensure_ascii=False, indent=2, sort_keys=True)
 
 
 def write_report(counts: DataFrame, path: str) -> None:
-    """report as a text file through Spark, so that it lands where the cluster's files are."""
+    """report as a text file through Spark, so that it lands where the cluster's files are; a long one as JSON lines instead."""
     spark = counts.sparkSession
-    spark.createDataFrame([(report(counts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    try:
+        text = report(counts)
+    except ValueError:
+        write_jsonl(counts, path)
+        return
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def written(df: DataFrame, path: str, fmt: str = "parquet", rows: int | None = None) -> DataFrame:

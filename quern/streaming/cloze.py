@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,24 +34,38 @@ def run(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_until(stream: DataFrame, path: str, checkpoint: str, cap: int) -> int:
-    """Writes batches until cap rows are accepted; returns how many were written.
+def _accepted(spark: SparkSession, path: str) -> dict[int, int]:
+    """Rows written by batch number; none where nothing is written yet."""
+    try:
+        rows = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException:
+        return {}
+    return {r["batch"]: r["n"] for r in rows.groupBy("batch").agg(F.count("*").alias("n")).collect()}
 
-    The batch in which the cap is reached is written whole: the exact prefix is what the
-    batch pipeline gives.
+
+def run_until(stream: DataFrame, path: str, checkpoint: str, cap: int, position: str | None = None) -> int:
+    """Writes batches until cap rows are accepted in all; returns how many are written.
+
+    What earlier runs wrote counts, so a restart from the checkpoint goes on to the same
+    cap; a batch that is delivered again replaces itself. Of the batch in which the cap is
+    reached only as many rows are written as are missing, by position (any column that
+    orders the rows; the content key where there is none).
     """
-    total = 0
+    spark = stream.sparkSession
+    have = _accepted(spark, path)
 
     def write(batch: DataFrame, n: int) -> None:
-        nonlocal total
-        if total >= cap:  # a batch that began before the query was stopped
+        left = cap - sum(v for k, v in have.items() if k < n)
+        if left <= 0:
             batch.write.format("noop").mode("overwrite").save()
             return
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
-        total += batch.sparkSession.read.parquet(f"{path}/batch={n}").count()
+        batch.orderBy(position or "dedup_hash").limit(left).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        have[n] = batch.sparkSession.read.parquet(f"{path}/batch={n}").count()
 
+    if sum(have.values()) >= cap:
+        return sum(have.values())
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     while not query.awaitTermination(1):
-        if total >= cap:
+        if sum(have.values()) >= cap:
             query.stop()
-    return total
+    return sum(have.values())

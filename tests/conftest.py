@@ -10,11 +10,9 @@ from quern.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, memory="4g", shuffle_partitions=2, app="tests")
+    # plans are small and many: the quick compiler of the JVM alone, and few tasks
+    s = local_session(4, memory="4g", shuffle_partitions=2, app="tests", extra={"spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1", "spark.sql.parquet.compression.codec": "uncompressed"})
     s.sparkContext.setLogLevel("ERROR")
-    # small tables: compiling a plan takes longer than running it
-    s.conf.set("spark.sql.codegen.wholeStage", "false")
-    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     ship(s)
     yield s
     s.stop()

@@ -171,3 +171,22 @@ def test_columns_agree_with_python_on_random_text(spark):
     df = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.hash_form("t").alias("h"))
     for r in df.collect():
         assert r.h == " ".join(r.t.replace(" ", " ").lower().split())
+
+
+def test_grams_of_a_long_text_take_time_in_proportion(spark):
+    """An expression as argument is computed once, not once per position."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quern.functions.text import char_ngram_hashes, char_ngrams, hash_form, ngrams, words
+
+    def took(n):
+        df = spark.createDataFrame([("Xin chào các bạn, " * (n // 18),)], "t string")
+        began = time.perf_counter()
+        row = df.select(F.size(char_ngrams(hash_form("t"), 5)).alias("a"), F.size(ngrams(words(hash_form("t")), 2)).alias("b"), F.size(char_ngram_hashes(hash_form("t"), 5)).alias("c")).first()
+        assert row.a == row.c == 18 and row.b == n // 18 * 4 - 1
+        return time.perf_counter() - began
+
+    took(2_000)
+    assert took(200_000) < 10

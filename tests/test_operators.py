@@ -121,10 +121,8 @@ def test_take_by_permutation(spark):
     n = {r.g: r["count"] for r in got.groupBy("g").count().collect()}
     assert n["hot"] == 100 and n[None] == 3 and n["b"] == df.filter("g = 'b'").count()
     first = sorted((r.k, r.id) for r in df.filter("g = 'hot'").select(F.xxhash64(F.lit(42), "id").alias("k"), "id").collect())
-    # permuted order: the key's upper half, read without sign, then the key
-    order = sorted(first, key=lambda x: ((x[0] % 2**64) >> 32) / (2**32 / 256) // 1)
-    slices = [int(((k % 2**64) >> 32) // (2**32 / 256)) for k, _ in order]
-    want = [i for _, (k, i) in sorted(zip(slices, order), key=lambda t: (t[0], t[1]))][:100]
+    # permuted order: the key, read without sign
+    want = [i for _, i in sorted((k % 2**64, i) for k, i in first)][:100]
     assert sorted(r.id for r in got.filter("g = 'hot'").collect()) == sorted(want)
 
 
@@ -157,17 +155,17 @@ def test_leak_rules(spark):
         (15, None, None, None, None),
     ])
     got = {r.id: (r.reason, r.benchmark_id) for r in leakage.first_leak(cand, bench).collect()}
-    assert got == {10: ("exact_question", 1), 11: ("near_duplicate_question", 1), 12: ("same_choices", 2), 13: ("high_context_overlap", 1), 14: (None, None), 15: (None, None)}
-    facts = {r.id: r.reason for r in leakage.first_leak(cand, bench, answer_facts=True).collect()}
-    assert facts[14] == "same_answer_fact"
+    assert got == {10: ("exact_question_match", 1), 11: ("near_duplicate_question", 1), 12: ("same_choices_pattern", 2), 13: ("high_context_overlap", 1), 14: (None, None), 15: (None, None)}
+    facts = {r.id: r.reason for r in leakage.first_leak(cand, bench, facts="text").collect()}
+    assert facts[14] == "same_answer_fact_pattern"
 
 
 def test_leak_ratio(spark):
     a, b = "ai là vua đầu tiên của nước ta ngày xưa", "ai là vua đầu tiêng của nước ta ngày xưaa"
     assert SequenceMatcher(None, a, b).ratio() >= 0.88
     cand, bench = _leak_frame(spark, [(1, a, None, None, None)]), _leak_frame(spark, [(2, b, None, None, None)])
-    assert leakage.first_leak(cand, bench).first().reason is None
-    assert leakage.first_leak(cand, bench, ratio=True).first().reason == "near_duplicate_question"
+    assert leakage.first_leak(cand, bench, ratio=False).first().reason is None
+    assert leakage.first_leak(cand, bench).first().reason == "near_duplicate_question"
 
 
 def test_leak_contexts_by_containment_and_ratio(spark):
@@ -182,7 +180,7 @@ def test_leak_contexts_by_containment_and_ratio(spark):
         (10, None, None, " ".join(word() for _ in range(60)) + " " + inner + " " + " ".join(word() for _ in range(60)), None), (11, None, None, inner[20:60], None),
         (12, None, None, typed, None), (13, joined.replace(" ", "", 7), None, None, None), (14, None, None, "khác hẳn, uxyzo", None), (15, None, None, "khác hẳn", None),
     ])
-    got = {r.id: (r.reason, r.benchmark_id) for r in leakage.first_leak(cand, bench, ratio=True).collect()}
+    got = {r.id: (r.reason, r.benchmark_id) for r in leakage.first_leak(cand, bench).collect()}
     context = "high_context_overlap"
     ratio = SequenceMatcher(None, joined.replace(" ", "", 7), joined).ratio()
     assert ratio >= 0.88 and got == {10: (context, 1), 11: (context, 1), 12: (context, 1), 13: ("near_duplicate_question", 2), 14: (context, 3), 15: (None, None)}
@@ -194,3 +192,139 @@ def test_materialize_uses_the_shared_folder(spark):
     assert again.count() == 5 and folder.split("/")[-1] in again.inputFiles()[0]
     assert "broadcast" in materialize.broadcast_if_small(again)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in materialize.broadcast_if_small(again, limit=2)._jdf.queryExecution().logical().toString().lower()
+
+
+def _ratio(a, b):
+    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def _grams(text, n):
+    return {text[i : i + n] for i in range(len(text) - n + 1)}
+
+
+def _leaks_by_brute_force(cand, bench, facts):
+    """Each candidate with each record in order, by the rules as they are defined."""
+
+    def form(x):
+        return " ".join((x or "").lower().split())
+
+    def asked(x):
+        return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in form(x)).split())
+
+    def words(x, n):
+        w = x.split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    def rule(c, b):
+        p, q = asked(c[1]), asked(b[1])
+        if p and p == q:
+            return 0
+        if p and q and (sorted(p.split()) == sorted(q.split()) or _jaccard(set(p.split()), set(q.split())) >= 0.8 or _ratio(p, q) >= 0.88):
+            return 1
+        if c[2] and [form(x) for x in c[2]] == [form(x) for x in b[2] or []]:
+            return 2
+        x, y = form(c[3]), form(b[3])
+        if x and y and (x in y or y in x or _ratio(x, y) >= 0.86 or _jaccard(words(x, 3) or words(x, 2), words(y, 3) or words(y, 2)) >= 0.5 or _jaccard(_grams(x, 5), _grams(y, 5)) >= 0.45):
+            return 3
+        if facts and form(c[4]) and form(c[4]) == form(b[4]):
+            return 4
+        return None
+
+    out = {}
+    for c in cand:
+        hits = ((b[0], rule(c, b)) for b in sorted(bench))
+        bid, found = next(((i, r) for i, r in hits if r is not None), (None, None))
+        out[c[0]] = (None if found is None else leakage.RULES[found], bid)
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["vua", "nước", "sông", "núi", "làng", "năm", "đời", "trần", "lê", "a", "ở", "hà", "nội", "huế,", "1873"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def changed(x):
+        x = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 8))):
+            k = rng.randrange(len(x)) if x else 0
+            x[k : k + rng.randint(0, 1)] = rng.choice(["z", " ", "", "q"])
+        return "".join(x)
+
+    bench = [(n, rng.choice([None, text(rng.randint(1, 8))]), [text(1), text(1), "x", "y"], rng.choice([None, "", "ng", text(rng.randint(1, 25))]), rng.choice([None, text(1)])) for n in range(40)]
+    cand = []
+    for n in range(160):
+        b = rng.choice(bench)
+        context = rng.choice([None, changed(b[3]) if b[3] else text(9), text(4) + " " + (b[3] or "") + " " + text(3), (b[3] or text(5))[2:20], text(12)])
+        cand.append((100 + n, rng.choice([None, changed(b[1]) if b[1] else text(3), text(6)]), rng.choice([None, b[2], [text(1), "x", "y", "z"]]), context, rng.choice([None, text(1)])))
+    for facts in ("none", "text"):
+        got = {r.id: (r.reason, r.benchmark_id) for r in leakage.first_leak(_leak_frame(spark, cand), _leak_frame(spark, bench), facts=facts).collect()}
+        assert got == _leaks_by_brute_force(cand, bench, facts == "text")
+
+
+def test_leaks_of_records_and_labels(spark):
+    prompt = "Đọc đoạn văn sau và chọn đáp án đúng.\n\nĐoạn văn: {}\n\nCâu hỏi: {}\nA. {}\nB. {}\nC. {}\nD. {}"
+    schema = "id bigint, messages array<struct<role:string,content:string>>, metadata struct<answer:string,gold_answer_text:string>"
+    cand = spark.createDataFrame([(1, [("user", prompt.format("Một chuyện", "Câu nào?", *"abcd"))], ("c", None)), (2, [("user", "không phải")], ("A", None)), (3, None, None)], schema)
+    bench = spark.createDataFrame([(9, [("user", prompt.format("Việc khác hẳn", "Điều gì lạ?", *"wxyz"))], ("C ", "ba")), (8, [("user", "hỏng")], ("C", None))], schema)
+    a, b = leakage.records(cand, F.col("id")), leakage.records(bench, F.col("id"))
+    first = lambda facts: {r.id: (r.reason, r.benchmark_id) for r in leakage.first_leak(a, b, facts).collect()}
+    bad = (leakage.INVALID, None)
+    assert first("reference") == {1: ("same_answer_fact_pattern", 9), 2: bad, 3: bad}
+    assert first("text") == {1: (None, None), 2: bad, 3: bad}
+
+
+def test_leaks_of_empty_tables(spark):
+    one = _leak_frame(spark, [(1, "Ai?", None, "xyz", None)])
+    none = one.limit(0)
+    assert leakage.first_leak(none, one).count() == 0 and leakage.first_leak(one, none).first().reason is None
+
+
+def test_hot_elements_are_salted(spark):
+    left, right = spark.range(50).select((F.col("id") % 2).alias("k"), F.col("id").alias("l")), spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("r"))
+    want = left.join(right, "k").count()
+    got = materialize.salted_join(left, right, "k", "r", chunk=100)
+    assert got.count() == want == got.distinct().count()
+
+
+def test_slices_do_not_change_results(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"), F.sha1(F.col("id").cast("string")).alias("k"))
+
+    def results():
+        return [
+            sorted(map(tuple, dedup.duplicate_groups(df, "g", "id").collect())),
+            sorted(map(tuple, split.split_groups(df, "g", F.col("k"), (("train", 0.9), ("val", 0.05)), "rest").collect())),
+            stats.rank_percentiles(df, F.col("id") * F.col("id")).first(),
+            sorted(map(tuple, split.accepted_prefix(df, F.col("id") % 7 == 0, "id", 50).collect())),
+            sorted(map(tuple, ranking.take_by_permutation(df, ["g"], "id", spark.createDataFrame([("hot", 77)], "g string, quota int")).collect())),
+        ]
+
+    want = results()
+    for module in (ranking, split):
+        monkeypatch.setattr(module, "SLICE", 40)
+    assert results() == want
+    ranks = {r.id: r["rank"] for r in dedup.duplicate_groups(df, "g", "id").collect()}
+    hot = sorted(i for i in range(3000) if i % 3)
+    assert [ranks[i] for i in hot] == list(range(2000))
+
+
+def test_split_keeps_equal_keys_together(spark):
+    df = spark.range(40).select(F.lit(None).cast("string").alias("g"), F.sha1((F.col("id") % 5).cast("string")).alias("k"))
+    got = split.split_groups(df, "g", F.col("k"), (("train", 0.5),), "rest").groupBy("k").agg(F.count_distinct("split").alias("n"), F.count("*").alias("rows"))
+    assert {(r.n, r.rows) for r in got.collect()} == {(1, 8)}
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        materialize.shared_dir(Session())
