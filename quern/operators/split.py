@@ -54,17 +54,15 @@ def sample_by_key(df: DataFrame, order: Column, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def capped_parts(df: DataFrame, part: str, task: str, order: Column, cap: int, cap_part: str = "train") -> DataFrame:
-    """df without the rows of cap_part beyond the first cap of each task, in the order of a key: no task has more in the mix.
+def capped_parts(df: DataFrame, part: str, task: str, key: str, cap: int, cap_part: str = "train") -> DataFrame:
+    """df without the rows of cap_part beyond cap of each task: no task has more in the mix.
 
-    order is a hexadecimal string, unique within a task. A task with fewer rows keeps all.
-    Only the slices where a cap falls are ordered (take_by_permutation's counts).
+    Which stay is decided by a permutation of the column key, unique within a task; a task
+    with fewer rows keeps all, rows of other parts all stay.
     """
-    own = F.col(part) == cap_part
-    keyed = df.filter(own).withColumn("_key", order)
-    quotas = keyed.select(task).distinct().withColumn("quota", F.lit(cap))
-    kept = take_by_permutation(keyed, [task], "_key", quotas).drop("_key")
-    return df.filter(~F.coalesce(own, F.lit(False))).unionByName(kept)
+    own = F.coalesce(F.col(part) == cap_part, F.lit(False))
+    quotas = df.filter(own).select(task).distinct().withColumn("quota", F.lit(cap))
+    return df.filter(~own).unionByName(take_by_permutation(df.filter(own), [task], key, quotas))
 
 
 def accepted_prefix(df: DataFrame, accepted: Column, position: str, cap: int) -> DataFrame:

@@ -41,9 +41,9 @@ k as (select *, case when reason is null and row_number() over (partition by rea
 """
 
 
-@query(f"with {_CLOZE} select why as reason, count(*) as rows from k group by 1")
+@query(f"with {_CLOZE} select doc_id, why as reason from k")
 def cloze_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(cloze.stage(_t(spark, d, "documents")).rows, "reason")
+    return cloze.stage(_t(spark, d, "documents")).rows.select("doc_id", "reason")
 
 
 @query(f"with {_CLOZE} select doc_id, target as assistant, dedup_hash from k where why is null")
@@ -77,10 +77,10 @@ _LENGTHS = f"""case when {q.missing("context")} then 'missing_context' when leng
  when {q.missing("answer_text")} then 'missing_answer' when length(answer_text) > 300 then 'answer_too_long' end"""
 
 
-@query(f"select {_LENGTHS} as reason, count(*) as rows from comprehension_seed_raw group by 1")
+@query(f"select row_id, {_LENGTHS} as reason from comprehension_seed_raw")
 def length_reasons(spark: SparkSession, d: str) -> DataFrame:
     rules = RuleSet(comprehension.length_rules(F.col("context"), F.col("question"), F.col("answer_text")))
-    return _counts(_t(spark, d, "comprehension_seed_raw").select(rules.first_reason().alias("reason")), "reason")
+    return _t(spark, d, "comprehension_seed_raw").select("row_id", rules.first_reason().alias("reason"))
 
 
 @query(
@@ -105,11 +105,11 @@ def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """with b as (select row_id, metadata.dedup_hash as h from comprehension_seed_raw),
 f as (select h, min(row_id) as first from b where h is not null and trim(h, ' ') <> '' group by 1)
-select case when b.h is null or trim(b.h, ' ') = '' then 'schema_error' when f.first <> b.row_id then 'duplicate' end as reason, count(*) as rows from b left join f on f.h = b.h group by 1"""
+select b.row_id, case when b.h is null or trim(b.h, ' ') = '' then 'schema_error' when f.first <> b.row_id then 'duplicate' end as reason from b left join f on f.h = b.h"""
 )
 def dedup_given_hash(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "comprehension_seed_raw").select("row_id", F.col("metadata.dedup_hash").alias("h"))
-    return _counts(dedup.keep_first_or_invalid(t, "h", "row_id").rows, "reason")
+    return dedup.keep_first_or_invalid(t, "h", "row_id").rows.select("row_id", "reason")
 
 
 @query(
@@ -165,20 +165,18 @@ _RAW_ERRORS = ", ".join([
 ])
 
 
-@query(f"select e as error, count(*) as rows from (select unnest([{_RAW_ERRORS}]) as e from comprehension_seed_raw) where e is not null group by 1")
+@query(f"select row_id, array_to_string([{_RAW_ERRORS}], '; ') as errors from comprehension_seed_raw")
 def raw_record_errors(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "comprehension_seed_raw")
-    return _counts(t.select(F.explode(comprehension.raw_errors().all_flags()).alias("error")), "error")
+    return t.select("row_id", F.array_join(comprehension.raw_errors().all_flags(), "; ").alias("errors"))
 
 
 @query(
-    f"""select case when metadata is null then 'missing_metadata' when metadata.source_dataset is distinct from '{READING}' then 'source_dataset'
-when metadata.span_check_mode is distinct from 'strict_exact' then 'span_check_mode' when coalesce(len(metadata.answer_variants), 0) < 1 then 'answer_variants_empty' end as reason,
-metadata.source_split as split, count(*) as rows from comprehension_seed_raw group by 1, 2"""
+    f"""select row_id, case when metadata is null then 'missing_metadata' when metadata.source_dataset is distinct from '{READING}' then 'source_dataset'
+when metadata.span_check_mode is distinct from 'strict_exact' then 'span_check_mode' when coalesce(len(metadata.answer_variants), 0) < 1 then 'answer_variants_empty' end as reason from comprehension_seed_raw"""
 )
 def slice_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = comprehension.slice_of(_t(spark, d, "comprehension_seed_raw"), READING).rows
-    return _counts(rows.withColumn("split", F.col("metadata.source_split")), "reason", "split")
+    return comprehension.slice_of(_t(spark, d, "comprehension_seed_raw"), READING).rows.select("row_id", "reason")
 
 
 _SHORT = f"{q.lit(mcq.ANSWER_SHORTLY)} || chr(10) || chr(10) || 'Đoạn văn: ' || context || chr(10) || chr(10) || 'Câu hỏi: ' || question"
@@ -200,9 +198,9 @@ when length({q.strip("answer_text")}) > 220 then 'answer_too_long' when {q.hash_
 when length({q.strip("context")}) > 8000 then 'context_too_long' end"""
 
 
-@query(f"select {_GEN} as reason, count(*) as rows from comprehension_seed_raw group by 1")
+@query(f"select row_id, {_GEN} as reason from comprehension_seed_raw")
 def generation_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(comprehension.generation_requests(_t(spark, d, "comprehension_seed_raw")).rows, "reason")
+    return comprehension.generation_requests(_t(spark, d, "comprehension_seed_raw")).rows.select("row_id", "reason")
 
 
 # Generated distractors
@@ -231,7 +229,7 @@ def fallback_join(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def distractor_reasons(spark: SparkSession, d: str) -> DataFrame:
     gen = _t(spark, d, "generation_output")
-    return _counts(mcq_plan.candidates(_t(spark, d, "comprehension_seed_raw"), gen, _positioned(gen)).rows, "reason")
+    return mcq_plan.candidates(_t(spark, d, "comprehension_seed_raw"), gen, _positioned(gen)).rows.select("row_id", "reason")
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -246,7 +244,7 @@ def mcq_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rule_check_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(mcq_plan.rule_check(_candidates(spark, d), "row_id").rows, "reason")
+    return mcq_plan.rule_check(_candidates(spark, d), "row_id").rows.select("row_id", "reason")
 
 
 @query()
@@ -302,7 +300,15 @@ def exam_difficulty(spark: SparkSession, d: str) -> DataFrame:
     return _counts(rows, "split", "difficulty")
 
 
-@query()
+_EXAM = ", ".join(f"{q.clean_choice(c)} as {c}" for c in _EXAM_FIELDS[1:])
+
+
+@query(
+    f"""with c as (select row_id, {q.clean_question("question")} as question, {_EXAM}, answer_letter, {q.difficulty("metadata.grade")} as difficulty from exams_mcq_seed),
+g as (select *, row_number() over (partition by question, choice_a, choice_b, choice_c, choice_d, answer_letter order by row_id) as rn from c
+ where not ({" or ".join(q.blank(c) for c in _EXAM_FIELDS)}) and coalesce(answer_letter in ('A', 'B', 'C', 'D'), false))
+select row_id, difficulty, sha1('Câu hỏi: ' || question || chr(10) || 'A. ' || choice_a || chr(10) || 'B. ' || choice_b || chr(10) || 'C. ' || choice_c || chr(10) || 'D. ' || choice_d) as prompt_key from g where rn = 1"""
+)
 def exam_records(spark: SparkSession, d: str) -> DataFrame:
     kept = mcq_plan.exams(_t(spark, d, "exams_mcq_seed").withColumn("grade", F.col("metadata.grade")).withColumn("subject", F.col("metadata.subject")), "row_id").kept
     records = mcq_plan.exam_records(mcq_plan.without_labels(kept))
@@ -311,10 +317,6 @@ def exam_records(spark: SparkSession, d: str) -> DataFrame:
 
 # Leakage
 
-_PROFILE = "{id} as id, nullif({q}, '') as q, list_distinct({w}) as tokens, array_to_string(list_sort({w}), ' ') as sorted, {c} as choices"
-_CH = "[{0}, {1}, {2}, {3}]"
-
-
 def _side(table: str, id_: str, choices: list[str]) -> str:
     form = q.question_form("question")
     forms = ", ".join(q.choice_form(c) for c in choices)
@@ -343,64 +345,139 @@ m as (
  union all select c.id, b.id, 2 from c join b on b.ch = c.ch
  union all select t.id, t.bid, 1 from toks t join c on c.id = t.id join b on b.id = t.bid where t.n >= 0.8 * (len(c.tokens) + len(b.tokens) - t.n)
 ), f as (select id, min((bid, rule)) as best from m group by 1)
-select c.id, ['exact_question', 'near_duplicate_question', 'same_choices'][best[2] + 1] as reason, best[1] as benchmark_id from c left join f on f.id = c.id"""
+select c.id, ['exact_question_match', 'near_duplicate_question', 'same_choices_pattern'][best[2] + 1] as reason, best[1] as benchmark_id from c left join f on f.id = c.id"""
 )
 def leak_first_reason(spark: SparkSession, d: str) -> DataFrame:
+    """Without sequence ratios, which SQL can't express; leak_with_ratios has them."""
+    return leakage.first_leak(*_leak_sides(spark, d), ratio=False)
+
+
+@query()
+def leak_with_ratios(spark: SparkSession, d: str) -> DataFrame:
     return leakage.first_leak(*_leak_sides(spark, d))
 
 
+def _context_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training records as candidates, those held out as the benchmark."""
+    t = _t(spark, d, "comprehension_seed_raw")
+    rows = t.select(F.col("row_id").alias("id"), "question", F.lit(None).cast("array<string>").alias("choices"), "context", "answer_text", F.coalesce(F.col("metadata.source_split"), F.lit("")).alias("split"))
+    return rows.filter("split = 'train'").drop("split"), rows.filter("split <> 'train'").drop("split")
+
+
+_W3, _W2, _C5 = q.word_grams("w", 3), q.word_grams("w", 2), q.char_grams("ctx", 5)
+
+
+def _near_contexts(column: str, t: float) -> str:
+    """Pairs of texts with similar sets in a column."""
+    return f"""select c.ctx as c, b.ctx as b from (select x.ctx, y.ctx as other, count(*) as n from (select ctx, unnest({column}) as g from ct) x join (select ctx, unnest({column}) as g from bt) y on x.g = y.g group by 1, 2) m
+ join ct c on c.ctx = m.ctx join bt b on b.ctx = m.other where m.n >= {t} * (len(c.{column}) + len(b.{column}) - m.n)"""
+
+
+_R = f"""r as (select row_id as id, coalesce(metadata.source_split, '') = 'train' as is_train, nullif({q.question_form("question")}, '') as qn, nullif({q.hash_form("context")}, '') as ctx, nullif({q.hash_form("answer_text")}, '') as fact from comprehension_seed_raw),
+p as (select *, string_split(qn, ' ') as ws, list_distinct(string_split(qn, ' ')) as tokens, array_to_string(list_sort(string_split(qn, ' ')), ' ') as sorted from r),
+qs as (select qn, any_value(tokens) as tokens from p where qn is not null and is_train group by 1), qb as (select qn, any_value(tokens) as tokens from p where qn is not null and not is_train group by 1),
+qt as (select x.qn, y.qn as other, count(*) as n from (select qn, unnest(tokens) as t from qs) x join (select qn, unnest(tokens) as t from qb) y on x.t = y.t group by 1, 2),
+w as (select ctx, is_train, string_split(ctx, ' ') as w from (select distinct ctx, is_train from p where ctx is not null)),
+t as (select ctx, is_train, case when len(w) >= 3 then {_W3} when len(w) = 2 then {_W2} else [] end as grams, case when length(ctx) >= 5 then {_C5} else [] end as chars from w),
+ct as (select * from t where is_train), bt as (select * from t where not is_train),
+near as (select ct.ctx as c, bt.ctx as b from ct join bt on contains(ct.ctx, bt.ctx) or contains(bt.ctx, ct.ctx) union {_near_contexts("grams", 0.5)} union {_near_contexts("chars", 0.45)}),
+c as (select * from p where is_train), b as (select * from p where not is_train),
+m as (select c.id, b.id as bid, 0 as rule from c join b on b.qn = c.qn union all select c.id, b.id, 1 from c join b on b.sorted = c.sorted
+ union all select c.id, b.id, 1 from qt join c on c.qn = qt.qn join b on b.qn = qt.other where qt.n >= 0.8 * (len(c.tokens) + len(b.tokens) - qt.n)
+ union all select c.id, b.id, 3 from near join c on c.ctx = near.c join b on b.ctx = near.b union all select c.id, b.id, 4 from c join b on b.fact = c.fact),
+f as (select id, min((bid, rule)) as best from m group by 1)"""
+
+
+@query(f"with {_R} select c.id, [{', '.join(q.lit(r) for r in leakage.RULES)}][best[2] + 1] as reason, best[1] as benchmark_id from c left join f on f.id = c.id")
+def leak_context_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """All rules on records with contexts and answers, but for the sequence ratios."""
+    return leakage.first_leak(*_context_sides(spark, d), facts="text", ratio=False)
+
+
+@query()
+def leak_context_reason(spark: SparkSession, d: str) -> DataFrame:
+    """All rules, the sequence ratios of questions and contexts included."""
+    return leakage.first_leak(*_context_sides(spark, d), facts="text")
+
+
 @query(
-    f"""with g as (select row_id as id, metadata.split = 'train' as is_train, list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as grams
- from (select row_id, metadata, {q.words("lower(question)")} as w from exams_mcq_seed where metadata.split in ('train', 'test')) where len(w) >= 3),
-p as (select a.id as l, b.id as r, count(*) as n from (select id, unnest(grams) as x from g where not is_train) a join (select id, unnest(grams) as x from g where is_train) b on b.x = a.x group by 1, 2)
-select p.l as "left", p.r as "right" from p join g a on a.id = p.l join g b on b.id = p.r where p.n >= 0.8 * (len(a.grams) + len(b.grams) - p.n)"""
+    f"""with w as (select row_id, coalesce(metadata.split, '') = 'train' as is_train, {q.words("lower(question)")} as w from exams_mcq_seed),
+k as (select array_to_string(w, ' ') as k, any_value(w) as w, min(row_id) filter (where not is_train) as l, min(row_id) filter (where is_train) as r, count(*) filter (where not is_train) as nl, count(*) filter (where is_train) as nr from w where len(w) > 0 group by 1),
+g as (select *, case when len(w) < 5 then [k] else {q.word_grams("w", 5)} end as grams from k),
+p as (select a.k as a, b.k as b, count(*) as n from (select k, unnest(grams) as x from g where nl > 0) a join (select k, unnest(grams) as x from g where nr > 0) b on b.x = a.x group by 1, 2)
+select a.l as "left", b.r as "right", a.nl as left_rows, b.nr as right_rows from p join g a on a.k = p.a join g b on b.k = p.b where p.n >= 0.8 * (len(a.grams) + len(b.grams) - p.n)"""
 )
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
-    w = text.words(F.lower("question"))
-    rows = _t(spark, d, "exams_mcq_seed").filter(F.col("metadata.split").isin("train", "test"))
-    units = rows.select(F.col("row_id").alias("u"), (F.col("metadata.split") == "test").alias("is_left"), (F.col("metadata.split") == "train").alias("is_right"), F.array_distinct(text.ngrams(w, 3)).alias("grams"))
-    return similar_sets(units.filter("size(grams) > 0"), 0.8)
+    """Questions of all rows that aren't training rows, against those that are: pairs of classes of equal wording.
+
+    left and right are the first rows of a class on either side, left_rows and right_rows
+    how many it has. Shingles have five words; a shorter question is one shingle.
+    """
+    rows = _t(spark, d, "exams_mcq_seed").select("row_id", (F.coalesce("metadata.split", F.lit("")) == "train").alias("is_train"), text.words(F.lower("question")).alias("w")).filter("size(w) > 0")
+    side = lambda f, train: f(F.when(F.col("is_train") == train, F.col("row_id")))
+    classes = rows.groupBy("w").agg(F.min("row_id").alias("u"), side(F.min, False).alias("left"), side(F.min, True).alias("right"), side(F.count, False).alias("left_rows"), side(F.count, True).alias("right_rows"))
+    five = text.ngram_hashes(F.col("w"), 5)
+    units = classes.select("u", "left", "right", "left_rows", "right_rows", (F.col("left_rows") > 0).alias("is_left"), (F.col("right_rows") > 0).alias("is_right"), F.when(F.size("w") < 5, F.array(F.xxhash64("w"))).otherwise(five).alias("grams"))
+    units = materialize(units, "questions")
+    pairs = similar_sets(units, 0.8, ready=True).unionByName(units.filter("is_left and is_right").select(F.col("u").alias("left"), F.col("u").alias("right")))
+    a, b = units.select(F.col("u").alias("_a"), F.col("left").alias("_l"), "left_rows"), units.select(F.col("u").alias("_b"), F.col("right").alias("_r"), "right_rows")
+    return pairs.join(a, F.col("left") == F.col("_a")).join(b, F.col("right") == F.col("_b")).select(F.col("_l").alias("left"), F.col("_r").alias("right"), "left_rows", "right_rows")
 
 
 # Encyclopedia questions
 
-_LABELLED = "regexp_extract({0}, '(?s)(?:^|\\n)\\s*{1}\\.(.*?)(?:\\n\\s*[ABCD]\\.|$)', 1)"
+_PIECE = "substring(list_filter(p[2:], lambda x: x[1] = '{0}')[-1], 2)"
+_PARTS = f"""mk as (select row_id, metadata.subject as subject, metadata.answer as answer, metadata.dedup_hash as stored, string_split(regexp_replace(regexp_replace(messages[1].content, '{q.BREAK}', chr(10), 'g'), '(?m)^[\\s\\x0B]*([ABCD])\\.', chr(1) || '\\1', 'g'), chr(1)) as p from wiki_mcq_seed),
+cut as (select row_id, subject, answer, stored, p[1] as head, {", ".join(f"{_PIECE.format(x)} as {x.lower()}0" for x in "ABCD")} from mk),
+parts as (select row_id, subject, answer, stored, coalesce(length(a0 || b0 || c0 || d0) >= 0, false) as parsed, {q.clean("regexp_replace(" + q.strip("head") + f", '^Câu hỏi:{q.WS}*', '')")} as question, {", ".join(f"{q.clean(x.lower() + '0')} as {x}" for x in "ABCD")} from cut)"""
 
 
 def _wiki_parts(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "wiki_mcq_seed")
-    return t.select("row_id", F.col("metadata.subject").alias("subject"), F.col("metadata.answer").alias("answer"), mcq.parse_wrapped(F.get("messages", F.lit(0))["content"]).alias("p")).filter("p is not null").select("row_id", "subject", "answer", "p.*")
+    return t.select("row_id", F.col("metadata.subject").alias("subject"), F.col("metadata.answer").alias("answer"), F.col("metadata.dedup_hash").alias("stored"), mcq.parse_wrapped(F.get("messages", F.lit(0))["content"]).alias("p")).select("row_id", "subject", "answer", "stored", F.col("p").isNotNull().alias("parsed"), "p.*")
 
 
-@query()
+@query(f"with {_PARTS} select row_id, parsed, {', '.join(f'case when parsed then {x} end as {x}' for x in ('question', *'ABCD'))} from parts")
 def wiki_prompt_parts(spark: SparkSession, d: str) -> DataFrame:
-    return _wiki_parts(spark, d).select("row_id", "question", *"ABCD")
+    """Question and choices of each prompt; parsed is false, and they are null, where a label is missing."""
+    return _wiki_parts(spark, d).select("row_id", "parsed", "question", *"ABCD")
 
 
-@query()
+_QUOTED = lambda x: f"chr(34) || replace(replace({x}, '\\', '\\\\'), chr(34), '\\' || chr(34)) || chr(34)"
+
+
+@query(
+    f"""with {_PARTS}, k as (select row_id, stored, md5('{{"choices": [' || {" || ', ' || ".join(_QUOTED(x) for x in "ABCD")} || '], "question": ' || {_QUOTED("question")} || '}}') as own from parts where parsed)
+select row_id, own, own = lower(stored) as same from k"""
+)
 def wiki_content_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the stored hash is the one of question and choices."""
-    p = _wiki_parts(spark, d)
+    """Whether the stored hash is the one of question and choices; null where none is stored."""
     own = keys.choices_key(F.col("question"), [F.col(x) for x in "ABCD"])
-    stored = _t(spark, d, "wiki_mcq_seed").select("row_id", F.lower("metadata.dedup_hash").alias("stored"))
-    return p.select("row_id", own.alias("own")).join(stored, "row_id").select("row_id", "own", (F.col("own") == F.col("stored")).alias("same"))
+    return _wiki_parts(spark, d).filter("parsed").select("row_id", own.alias("own"), F.lower("stored").alias("stored")).select("row_id", "own", (F.col("own") == F.col("stored")).alias("same"))
+
+
+_BIAS = f"""{_PARTS}, n as (select subject, {q.answer_letter("answer")} as answer, length(A) as a, length(B) as b, length(C) as c, length(D) as d from parts where parsed),
+f as (select subject, case answer when 'A' then a when 'B' then b when 'C' then c when 'D' then d end as "right", a + b + c + d as total, answer, case greatest(a, b, c, d) when a then 'A' when b then 'B' when c then 'C' else 'D' end as longest from n where answer is not null),
+g as (select subject, "right", (total - "right") / 3 as wrong, "right" - (total - "right") / 3 as gap, longest = answer as longest_is_right from f)"""
 
 
 def _length_frame(spark: SparkSession, d: str) -> DataFrame:
     n = {x: F.length(x) for x in "ABCD"}
-    p = _wiki_parts(spark, d).withColumn("answer", text.answer_letter(F.col("answer"))).filter("answer is not null")
+    p = _wiki_parts(spark, d).filter("parsed").withColumn("answer", text.answer_letter(F.col("answer"))).filter("answer is not null")
     right = F.coalesce(*(F.when(F.col("answer") == x, c) for x, c in n.items()))
     wrong = (n["A"] + n["B"] + n["C"] + n["D"] - right) / 3
     return p.select("subject", right.alias("right"), wrong.alias("wrong"), (right - wrong).alias("gap"), (stats.longest_label(n) == F.col("answer")).alias("longest_is_right"))
 
 
-@query()
+@query(
+    f"""with {_BIAS} select subject, count(*) as rows, round(avg("right"), 3) as mean_right, round(avg(wrong), 3) as mean_wrong, round(avg(gap), 3) + 0.0 as mean_gap, round(avg(longest_is_right::int) * 100, 2) as longest_percent from g group by 1"""
+)
 def length_bias_by_subject(spark: SparkSession, d: str) -> DataFrame:
     f = _length_frame(spark, d)
     return f.groupBy("subject").agg(F.count("*").alias("rows"), F.round(F.avg("right"), 3).alias("mean_right"), F.round(F.avg("wrong"), 3).alias("mean_wrong"), F.round(F.avg("gap"), 3).alias("mean_gap"), F.round(F.avg(F.col("longest_is_right").cast("int")) * 100, 2).alias("longest_percent"))
 
 
-@query()
+@query(f"with {_BIAS} select subject, count(*) as suspects from g where longest_is_right and gap >= 5 group by 1")
 def length_bias_suspects(spark: SparkSession, d: str) -> DataFrame:
     return _length_frame(spark, d).filter("longest_is_right and gap >= 5").groupBy("subject").agg(F.count("*").alias("suspects"))
 
@@ -475,19 +552,24 @@ def _whitelist(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in _t(spark, d, "sample_targets").filter("target_field = 'subject'").select("category").collect()]
 
 
-@query(
-    """with f as (select list_sort(list_filter([case when coalesce(metadata.subject not in (select category from sample_targets where target_field = 'subject'), true) then 'subject_not_in_wiki_mcq_whitelist' end,
-case when not regexp_matches(coalesce(messages[2].content, ''), '^\\s*Đáp án:\\s*[ABCD]\\s*$') then 'invalid_assistant_answer_format' end], lambda x: x is not null)) as flags from wiki_mcq_seed)
-select array_to_string(flags, ' + ') as flags, count(*) as rows from f group by 1"""
-)
+_LINE = "list_filter(l, lambda x: regexp_extract(x, '([ABCD])', 1) = '{0}')[-1]"
+_CLEANUP = f"""w as (select row_id, metadata.subject as subject, {q.user()} as u, {q.assistant()} as a from wiki_mcq_seed),
+l as (select *, list_filter(string_split(u, chr(10)), lambda x: regexp_matches(x, '^[^\\S\\n]*[ABCD]\\.')) as l from w),
+c as (select *, [{", ".join("lower(" + q.clean("regexp_replace(" + _LINE.format(x) + r", '^\s*[ABCD]\.', '')") + ")" for x in "ABCD")}] as four, {" and ".join(_LINE.format(x) + " is not null" for x in "ABCD")} as whole from l),
+f as (select row_id, list_sort(list_filter([case when coalesce(subject not in (select category from sample_targets where target_field = 'subject'), true) then 'subject_not_in_wiki_mcq_whitelist' end,
+ case when coalesce(not whole or len(list_distinct(four)) < 4, true) then 'duplicate_choices_or_invalid_choice_format' end,
+ case when not regexp_full_match(coalesce({q.strip("a")}, ''), 'Đáp án:{q.WS}*[ABCD]') then 'invalid_assistant_answer_format' end,
+ case when {" or ".join(f"coalesce(regexp_matches(u, '(?i){p}'), false)" for p in text.ENGLISH_LEFT)} then 'hard_english_artifact' end], lambda x: x is not null)) as flags from c)"""
+
+
+@query(f"with {_CLEANUP} select array_to_string(flags, ' + ') as flags, count(*) as rows from f group by 1")
 def cleanup_flag_sets(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "wiki_mcq_seed")
     flags = mcq_plan.cleanup_flags(mcq.message(F.col("messages"), "user"), mcq.message(F.col("messages"), "assistant"), F.col("metadata.subject"), _whitelist(spark, d))
-    two = F.filter(flags, lambda x: x.isin("subject_not_in_wiki_mcq_whitelist", "invalid_assistant_answer_format"))
-    return _counts(t.select(F.array_join(F.array_sort(two), " + ").alias("flags")), "flags")
+    return _counts(t.select(F.array_join(F.array_sort(flags), " + ").alias("flags")), "flags")
 
 
-@query()
+@query(f"with {_CLEANUP} select row_id, case when len(flags) = 0 then 'keep' else 'drop' end as qc_action, array_to_string(flags, ' + ') as flags from f")
 def cleanup_actions(spark: SparkSession, d: str) -> DataFrame:
     rows = mcq_plan.cleanup(_t(spark, d, "wiki_mcq_seed"), _whitelist(spark, d)).rows
     return rows.select("row_id", "qc_action", F.array_join(F.array_sort("qc_flags"), " + ").alias("flags"))
@@ -512,25 +594,71 @@ def worklist_membership(spark: SparkSession, d: str) -> DataFrame:
     return marked.unionByName(rows.join(listed, "subject", "left_anti").withColumn("listed", F.lit(False))).select("row_id", "listed")
 
 
-@query()
+_MATH = r"""t as (select row_id, messages[1].content as t from wiki_mcq_seed),
+s as (select row_id, t, string_split(regexp_replace(t, '\$(\s?\d{1,3}(?:,\d{3})+(?:\.\d+)?|\s?\d+\.\d{2})', chr(1) || '\1', 'g'), '$') as s from t),
+h as (select row_id, t, len(s) % 2 = 0 as odd, array_to_string(list_transform(s, lambda x, i: case when i % 2 = 1 then x else replace(replace(replace(x, '\frac', chr(2)), '\sqrt', chr(2)), '^', chr(2)) end), '$') as h from s),
+f as (select row_id, t, list_sort(list_filter([case when odd then 'unbalanced_math_dollar' end, case when regexp_matches(h, '\\frac\{[^{}\n]+\}\{[^{}\n]+\}') then 'raw_latex_frac' end, case when regexp_matches(h, '\\sqrt\{[^{}\n]+\}') then 'raw_latex_sqrt' end,
+ case when regexp_matches(h, '(?:^|[^\pL\pN_$\x01])(?:[0-9]+|[a-zA-Z])\^(?:\{[^{}\n]+\}|[0-9]+)(?:$|[^\pL\pN_$\x01])') then 'raw_caret_power' end,
+ case when contains(t, '\n') then 'literal_backslash_n' end, case when regexp_matches(t, '&[a-zA-Z]+;') then 'html_entity' end], lambda x: x is not null)) as flags from h)"""
+
+
+@query(f"with {_MATH} select row_id, coalesce(array_to_string(flags, ','), '') as flags from f")
 def formula_flags(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "wiki_mcq_seed").select("row_id", math_flags(F.get("messages", F.lit(0))["content"]).alias("flags"))
     return t.select("row_id", F.array_join("flags", ",").alias("flags"))
 
 
+def _flagged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = materialize(_t(spark, d, "wiki_mcq_seed").select("row_id", F.get("messages", F.lit(0))["content"].alias("text")), "prompts")
+    return rows, rows.filter(F.size(math_flags(F.col("text"))) > 0).select("row_id")
+
+
 @query()
 def formula_triage(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "wiki_mcq_seed").select("row_id", F.get("messages", F.lit(0))["content"].alias("text"))
-    flagged = rows.filter(F.size(math_flags(F.col("text"))) > 0).select("row_id")
-    return _counts(mcq_plan.math_triage(rows, flagged, "row_id", "text"), "action")
+    rows, flagged = _flagged(spark, d)
+    return mcq_plan.math_triage(rows, flagged, "row_id", "text").select("row_id", "action")
+
+
+@query()
+def formula_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the flagged prompts by rule alone."""
+    rows, flagged = _flagged(spark, d)
+    none = spark.createDataFrame([], "row_id bigint, fixed string, failed boolean")
+    return mcq_plan.repair_log(rows, flagged, none, "row_id", "text").select("row_id", "status", "reason", F.array_join("after_flags", ",").alias("flags"))
+
+
+_NAIVE = ", ".join(f"case when {f'regexp_matches(t, {q.lit(p)})' if k != 'unbalanced_dollar' else 'len(string_split(t, chr(36))) % 2 = 0'} then {q.lit(k)} end" for k, p in mcq_plan.SUSPICIOUS.items())
+
+
+@query(
+    f"""with {_PARTS}, t as (select row_id, question || chr(10) || A || chr(10) || B || chr(10) || C || chr(10) || D as t from parts where parsed),
+f as (select row_id, list_filter([{_NAIVE}], lambda x: x is not null) as flags from t) select row_id, array_to_string(flags, ',') as flags from f where len(flags) > 0"""
+)
+def format_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Suspicious formats of prompts of all subjects."""
+    t = _t(spark, d, "wiki_mcq_seed").select("row_id", mcq_plan.format_flags(F.get("messages", F.lit(0))["content"]).alias("flags"))
+    return t.filter(F.size("flags") > 0).select("row_id", F.array_join("flags", ",").alias("flags"))
 
 
 # Instructions and dialogues
 
 
-@query()
+_TEXT = lambda c: q.without_markers(q.strip_lines(f"nfc_normalize({c})"))
+_LETTER = f"regexp_matches(a, '(?i)^{q.WS}*(Đáp án|Answer|Kết quả){q.WS}*:?{q.WS}*[A-D]{q.WS}*$')"
+_LISTED = "regexp_matches(u, '" + r"\n".join([rf"[A-D]\.{q.WS}+.*?"] * 3) + rf"\n[A-D]\.{q.WS}+')"
+_BARE = f"length(a) < 20 and regexp_matches(a, '(?i)^{q.WS}*[A-D]\\.?{q.WS}*$')"
+
+
+@query(
+    f"""with t as (select _row_index, {_TEXT("instruction")} as i, {_TEXT("input")} as n, {_TEXT("output")} as a from instruction_rows),
+x as (select _row_index, case when n <> '' then i || chr(10) || chr(10) || n else i end as u, a from t),
+r as (select *, case when length(u) < 10 then 'user_too_short' when length(u) > 2000 then 'user_too_long' when length(a) < 10 then 'assistant_too_short' when length(a) > 4000 then 'assistant_too_long'
+ when {_LETTER} or ({_LISTED} and {_BARE}) then 'mcq_like_contamination' end as reason, {q.hash_form("u")} || '|' || {q.hash_form("a")} as k from x),
+f as (select k, min(_row_index) as first from r where reason is null group by 1)
+select r._row_index, case when r.reason is not null then r.reason when f.first <> r._row_index then 'duplicate' end as reason from r left join f on f.k = r.k"""
+)
 def instruction_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(instruction.single_turns(_t(spark, d, "instruction_rows")).rows, "reason")
+    return instruction.single_turns(_t(spark, d, "instruction_rows")).rows.select("_row_index", "reason")
 
 
 @query("select row_id, messages[1].content as \"user\", messages[2].content as assistant from comprehension_seed_raw where messages[1].role = 'user' and messages[2].role = 'assistant'")

@@ -57,3 +57,45 @@ def user(messages: str = "messages") -> str:
 
 def assistant(messages: str = "messages") -> str:
     return f"list_filter({messages}, lambda m: m.role = 'assistant')[1].content"
+
+
+#: Line breaks as the column functions see them.
+BREAK = r"\r\n|[\n\x0B\x0C\r\x85\x{2028}\x{2029}]"
+
+
+def answer_letter(x: str) -> str:
+    t = f"upper({strip(x)})"
+    return f"case {t} when '0' then 'A' when '1' then 'B' when '2' then 'C' when '3' then 'D' else nullif(regexp_extract({t}, '^([ABCD])[.)]?$', 1), '') end"
+
+
+def clean_question(x: str) -> str:
+    t = f"regexp_replace({strip(f'replace({x}, chr(160), chr(32))')}, '{BREAK}', chr(10), 'g')"
+    t = strip(f"regexp_replace({t}, '(?ms)^[^\\S\\n]*[A-Da-d][^\\S\\n]*[.):\\-][^\\S\\n]+.*\\z', '')")
+    return strip(f"regexp_replace(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')")
+
+
+def clean_choice(x: str) -> str:
+    return strip(collapse(f"regexp_replace({strip(collapse(x))}, '^{WS}*[A-Da-d]{WS}*[.):\\-]{WS}*', '')"))
+
+
+def difficulty(x: str) -> str:
+    n = f"case when regexp_full_match({strip(x)}, '[+-]?\\d+') then try_cast({strip(x)} as int) end"
+    return f"case when {n} between 1 and 6 then 'easy' when {n} between 10 and 12 then 'hard' else 'medium' end"
+
+
+def strip_lines(x: str) -> str:
+    t = f"replace(coalesce({x}, ''), chr(160), ' ')"
+    return strip(f"array_to_string(list_transform(regexp_split_to_array({t}, '{BREAK}'), lambda l: {strip('l')}), chr(10))")
+
+
+def without_markers(x: str) -> str:
+    roles = "Human|Assistant|Instruction|Response|Input|Output"
+    return strip(f"regexp_replace({x}, '(?im)^{WS}*(?:#+{WS}*(?:{roles}){WS}*:?|(?:{roles}){WS}*:){WS}*', '', 'g')")
+
+
+def word_grams(w: str, n: int) -> str:
+    return f"list_distinct(list_transform(generate_series(1, len({w}) - {n - 1}), lambda i: array_to_string({w}[i : i + {n - 1}], ' ')))"
+
+
+def char_grams(t: str, n: int) -> str:
+    return f"list_distinct(list_transform(generate_series(1, length({t}) - {n - 1}), lambda i: substring({t}, i, {n})))"

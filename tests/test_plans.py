@@ -290,3 +290,59 @@ def test_matched_responses(spark):
     assert boundary.matched(a, b, "k").first().fixed == "t"
     with pytest.raises(Exception, match="don't match"):
         boundary.matched(a, b.withColumn("k", F.lit("y")), "k").collect()
+
+
+def test_groups_stay_together_and_tasks_are_capped(spark):
+    rows = spark.range(400).select(F.col("id").alias("pos"), F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"), F.struct(F.lit("exams_mcq").alias("task")).alias("metadata"), (F.col("id") % 100).alias("g"))
+    grouped = training_split.split(training_split.together([rows], "g")).kept
+    assert grouped.groupBy("group").agg(F.count_distinct("split").alias("n")).filter("n <> 1").count() == 0
+    assert {r.split: r["count"] for r in grouped.groupBy("split").count().collect()} == {"train": 360, "val": 20, "shadow": 20}
+    capped = training_split.split(training_split.together([rows]), cap_per_task=100)
+    assert {(r.split, r.reason): r.n for r in capped.rows.groupBy("split", "reason").agg(F.count("*").alias("n")).collect()} == {("train", None): 100, (None, "over_cap"): 260, ("val", None): 20, ("shadow", None): 20}
+
+
+def test_distractors_are_judged_in_their_order(spark):
+    def record(n, choices, gold):
+        user = prompts.READ_AND_CHOOSE + "\n\nĐoạn văn: một đoạn\n\nCâu hỏi: Cái gì?\n" + "\n".join(f"{x}. {c}" for x, c in zip("ABCD", choices))
+        meta = ("comprehension_mcq", gold, "A", dict(zip("ABCD", choices)), f"k{n}")
+        return (n, [("user", user), ("assistant", "Đáp án: A")], meta)
+
+    schema = "row_id bigint, messages array<struct<role:string,content:string>>, metadata struct<task:string,gold_answer_text:string,answer:string,choices:map<string,string>,mcq_dedup_hash:string>"
+    rows = [
+        record(1, ["sông Hồng", "dòng sông Hồng lớn", "x", "y"], "sông Hồng"),
+        record(2, ["sông Hồng lớn", "x", "sông Hồng", "y"], "sông Hồng lớn"),
+        record(3, ["sông Hồng lớn", "sông Hồng", "sông Hồng lớn nhất", "y"], "sông Hồng lớn"),
+        record(4, ["sông Hồng", "cả a và b", "x" * 301, "y"], "sông Hồng"),
+        record(5, ["sông Hồng", "x" * 301, "cả a và b", "y"], "sông Hồng"),
+    ]
+    df = spark.createDataFrame(rows, schema).withColumn("metadata", F.struct("metadata.*", F.lit("d").alias("source_dataset")))
+    got = {r.row_id: r.reason for r in mcq.rule_check(df, "row_id").rows.collect()}
+    assert got == {1: "distractor_contains_gold", 2: "distractor_matches_gold", 3: "distractor_matches_gold", 4: "banned_option_text", 5: "choice_too_long"}
+
+
+def test_repair_log(spark):
+    prompt = lambda q: f"Câu hỏi: {q}\nA. một\nB. hai\nC. ba\nD. bốn"
+    rows = spark.createDataFrame([("a", prompt(r"Tính \frac{1}{2}?")), ("b", prompt("Tính gì?")), ("c", prompt("Giá $5?")), ("d", "không phải"), ("e", prompt("Và $6?")), ("f", prompt("Rồi $7?")), ("g", prompt("Lại $8?"))], "source_id string, text string")
+    issues = spark.createDataFrame([(x,) for x in "abcdefgz"], "source_id string")
+    answers = spark.createDataFrame([("c", prompt("Giá 5 đô?"), False), ("e", "hỏng", False), ("f", None, True), ("a", "nobody asked", False)], "source_id string, fixed string, failed boolean")
+    got = sorted((r.source_id, r.status, r.reason, r.fixed is not None) for r in mcq.repair_log(rows, issues, answers).collect())
+    assert got == [
+        ("a", "fixed_by_rule", None, True),
+        ("b", "false_positive_or_no_change_needed", None, False),
+        ("c", "fixed_by_gemini", None, True),
+        ("c", "needs_gemini", None, False),
+        ("d", "invalid_original_user_content", None, False),
+        ("e", "gemini_fix_rejected", "invalid_user_content_format", False),
+        ("e", "needs_gemini", None, False),
+        ("f", "gemini_batch_failed", None, False),
+        ("f", "needs_gemini", None, False),
+        ("g", "needs_gemini", None, False),
+        ("z", "missing_source_id_in_jsonl", None, False),
+    ]
+
+
+def test_format_flags(spark):
+    text = "Câu hỏi: " + "giá $5 | a__b x^2 x_1 {} &lt;\nA. \\\\frac\nB. \\sqrt\nC. \\begin \\end\nD. \\n $$"
+    df = spark.createDataFrame([(1, text, "astronomy"), (2, text, "khác"), (3, "không", "astronomy")], "id int, t string, s string")
+    got = mcq.format_issues(df, F.col("t"), F.col("s")).collect()
+    assert [r.id for r in got] == [1] and got[0].flags == list(mcq.SUSPICIOUS)
