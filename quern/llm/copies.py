@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.materialize import BROADCAST_ROWS, materialize
+from quern.operators.materialize import BROADCAST_ROWS, broadcast_if_small, materialize, rows_of, salted_join
 
 
 @dataclass(frozen=True)
@@ -35,22 +35,33 @@ class BloomConfig:
 # Signs that may belong to a number; all other punctuation is dropped.
 _OF_NUMBERS = ".,/:%-−"
 _PUNCTUATION = "".join(re.escape(chr(c)) for c in range(0x21, 0x10000) if unicodedata.category(chr(c))[0] == "P" and chr(c) not in _OF_NUMBERS)
-_GAP = re.compile(r"(?<=\d)\s+(?=\d)")
 _MINUS = re.compile(r"(?<=\d)\s*([-−])\s*(?=\d)")
+_PERCENT = re.compile(r"(?<=\d)\s+%")
+_BETWEEN = re.compile(rf"(?<=[\d%])[\s.,/:{_PUNCTUATION}]+(?=[-−]?\d)")
 _DROP = re.compile(rf"[\s{_PUNCTUATION}]+|(?<!\d)[.,/:]|[.,/:](?!\d)|(?<!\d)%|(?<=[^\W\d_])[-−]|[-−](?!\d)")
 _CHAT = re.compile(r"\A(.*?)\n" + r"\n".join(r"\s*[(\[]?" + x + r"\s*[.):\]\-–—/]+(.*?)" for x in "ABCD") + r"\Z", re.S)
 _ASKED = re.compile(r"\A\s*câu\s+hỏi\s*:", re.I)
 
 
+def _apart(m: re.Match) -> str:
+    """A separator right between two digits belongs to their number; anything else keeps two numbers apart."""
+    return m[0] if m[0] in (".", ",", "/", ":") and m.string[m.start() - 1] != "%" and m.string[m.end()] not in "-−" else "\u0001"
+
+
 def canonical(text: str) -> str:
     """Text without case, white space and punctuation; signs and separators of numbers stay.
 
-    Neighbouring numbers stay apart.
+    A point, comma, slash or colon belongs to a number if digits stand right before and
+    behind it, a percent sign if a number stands before it, a minus if a number follows and
+    no letter stands before it. Neighbouring numbers stay apart, whatever stands between
+    them: '1, 2' is '1 2' and neither '1,2' nor '12'.
     """
-    t = _GAP.sub("\u0001", text.lower())
+    t = text.lower()
     if "-" in t or "−" in t:
         t = _MINUS.sub(r"\1", t)
-    return _DROP.sub("", t)
+    if "%" in t:
+        t = _PERCENT.sub("%", t)
+    return _DROP.sub("", _BETWEEN.sub(_apart, t))
 
 
 def letter(answer: str | None) -> str | None:
@@ -173,19 +184,36 @@ def _ended(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def possible_repeats(rows: DataFrame, cfg: BloomConfig = BloomConfig()) -> DataFrame:
-    """The rows (with a bigint column h) whose h may occur more than once; rows with another h are left out for certain only if single."""
-    spark = rows.sparkSession
-    n = rows.count()
+def _position(k: int, cfg: BloomConfig, bits: int):
+    """UDF: place in the filter of a hash's k-th bit."""
+
+    @F.pandas_udf("bigint")
+    def position(h: pd.Series) -> pd.Series:
+        return pd.Series(_positions(h.to_numpy(np.int64), cfg.hashes, bits)[k])
+
+    return position
+
+
+#: Bits up to which the filter is sent to every executor, unpacked (32 MB).
+DENSE_BITS = 1 << 28
+
+
+def marked(rows: DataFrame, cfg: BloomConfig = BloomConfig(), n: int | None = None) -> DataFrame:
+    """rows (with a bigint column h) and a boolean column maybe: false only if no other row has their h.
+
+    The filter is sent to the executors while its bits, unpacked, are at most DENSE_BITS.
+    Beyond, its filled positions are joined with the distinct hashes, of which the map
+    side sends each once; only the hashes that are left meet the rows again.
+    """
+    n = rows.count() if n is None else n
     bits = max(1024, n * cfg.bits_per_record)
     merged = materialize(repeated_positions(rows.select("h"), cfg, bits), "bloom")
-    size = merged.select(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    if size <= 32 << 20 and bits <= 1 << 31:
+    if bits <= DENSE_BITS:
         filled = np.zeros(bits // 8 + 1, np.uint8)
-        for block, data in merged.collect():
+        for block, data in merged.toLocalIterator():
             at = _unpack(data) + block * cfg.block_bits
             np.bitwise_or.at(filled, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        shared = spark.sparkContext.broadcast(filled)
+        shared = rows.sparkSession.sparkContext.broadcast(filled)
 
         @F.pandas_udf("boolean")
         def repeated(h: pd.Series) -> pd.Series:
@@ -194,21 +222,19 @@ def possible_repeats(rows: DataFrame, cfg: BloomConfig = BloomConfig()) -> DataF
                 ok &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             return pd.Series(ok)
 
-        return rows.filter(repeated("h"))
+        return rows.withColumn("maybe", repeated("h"))
 
-    # too large to send everywhere: the filled positions are joined by shuffle
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for block, data in part.itertuples(index=False):
                 yield pd.DataFrame({"at": _unpack(data) + block * cfg.block_bits})
 
     filled = merged.mapInPandas(unpack, "at bigint")
-
-    @F.pandas_udf("bigint")
-    def first_position(h: pd.Series) -> pd.Series:
-        return pd.Series(_positions(h.to_numpy(np.int64), 1, bits)[0])
-
-    return rows.withColumn("at", first_position("h")).join(filled, "at", "left_semi").drop("at")
+    left = rows.select("h").distinct()
+    for k in range(cfg.hashes):
+        left = left.withColumn("at", _position(k, cfg, bits)("h")).join(filled, "at", "left_semi").drop("at")
+    left = materialize(left.select(F.col("h").alias("_h"), F.lit(True).alias("_maybe")), "repeated-hashes")
+    return rows.join(broadcast_if_small(left), F.col("h") == F.col("_h"), "left").withColumn("maybe", F.coalesce("_maybe", F.lit(False))).drop("_h", "_maybe")
 
 
 def copies_of(records: DataFrame, cfg: BloomConfig = BloomConfig()) -> tuple[DataFrame, DataFrame]:
@@ -216,21 +242,24 @@ def copies_of(records: DataFrame, cfg: BloomConfig = BloomConfig()) -> tuple[Dat
 
     groups: first_id, copies, of each distinct record, singles included. members: first_id,
     id, of each further copy. Records whose canonical text is null are single, each its own
-    group. Repeated ids are separate records. Empty input gives empty results.
+    group. Rows with the same id are separate records: of a group whose smallest id comes
+    several times, the further ones are members too. Empty input gives empty results.
+
+    Records that the filter tells to be single leave without being shuffled or compared.
     """
     thin = materialize(records.select("id", "canonical", F.xxhash64("canonical").alias("h")), "canonical")
     known = thin.filter("canonical is not null")
-    repeats = materialize(possible_repeats(known, cfg), "repeats")
+    told = marked(known, cfg)
+    repeats = materialize(told.filter("maybe").drop("maybe"), "repeats")
     groups = materialize(repeats.groupBy("canonical").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")), "groups")
-    several = groups.filter("copies > 1")
-    # a group may hold a third of all rows: its rows are spread over salted partitions of the join
-    n = several.limit(BROADCAST_ROWS // 10 + 1).count()
-    if n <= BROADCAST_ROWS // 10:
+    # a group may hold a third of all rows: its rows are salted, the groups sent to each salt
+    several = groups.filter("copies > 1").select("canonical", "first_id")
+    if rows_of(groups) <= BROADCAST_ROWS // 10:
         joined = repeats.join(F.broadcast(several), "canonical")
     else:
-        heavy = several.filter("copies > 1000000")
-        light = several.filter("copies <= 1000000")
-        joined = repeats.join(F.broadcast(heavy), "canonical").unionByName(repeats.join(light, "canonical"))
-    members = joined.filter("id <> first_id").select("first_id", "id")
-    single = thin.join(repeats.select("id"), "id", "left_anti").select(F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
-    return groups.select("first_id", "copies").unionByName(single), members
+        joined = salted_join(several, repeats, "canonical", "id", rows_of(repeats))
+    further = joined.filter("id <> first_id").select("first_id", "id")
+    again = joined.filter("id = first_id").groupBy("h", "first_id").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    again = again.select("first_id", F.explode(F.expr("array_repeat(first_id, n - 1)")).alias("id"))
+    single = told.filter("not maybe").select("id").unionByName(thin.filter("canonical is null").select("id")).select(F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
+    return groups.select("first_id", "copies").unionByName(single), further.unionByName(again)

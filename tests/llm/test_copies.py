@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import copies
-from quern.llm.copies import BloomConfig, canonical, canonical_record, chat_parts, copies_of, letter, possible_repeats
+from quern.llm.copies import BloomConfig, canonical, canonical_record, chat_parts, copies_of, letter, marked
 
 
 @pytest.mark.parametrize(
@@ -17,6 +17,7 @@ from quern.llm.copies import BloomConfig, canonical, canonical_record, chat_part
     [
         ("Ai  là vua?", "AI LÀ “VUA”", True), ("ki-lô-gam", "ki lô gam", True), ("giá 12,5 kg", "giá 125 kg", False), ("giá -5", "giá 5", False), ("a - b", "a b", True), ("897 - 24", "897 + 24", False), ("4 5", "45", False),
         ("Câu 5. Hỏi", "câu 5 hỏi", True), ("5%", "5", False), ("1/2", "12", False), ("(chỉ) 139 mm", "chỉ 139 mm.", True), ("5$", "5", False), ("x²", "x2", False),
+        ("1, 2", "12", False), ("1; 2", "12", False), ("5 %", "5", False), ("5 %", "5%", True), ("1/ 2", "12", False), ("3 : 4", "34", False), ("10 . 5", "105", False), ("1, 2", "1 2", True), ("5, -3", "5 - 3", False), ("3% 4", "3 % 4", True), ("3% 4", "34", False), ("1.5.2", "1.52", False),
     ],
 )
 def test_canonical(a, b, same):
@@ -69,17 +70,37 @@ def test_groups_against_brute_force(spark):
 
 def test_filter_keeps_every_repeat(spark):
     df = spark.range(20_000).select((F.col("id") % 15_000).alias("k")).select("k", F.xxhash64("k").alias("h")).repartition(7)
-    got = possible_repeats(df, BloomConfig(block_bits=4096))
+    got = marked(df, BloomConfig(block_bits=4096)).filter("maybe")
     n = got.groupBy("k").count()
     assert n.filter("count = 2").count() == 5000 and got.count() < 12_000
 
 
 def test_filter_by_shuffle_is_the_same(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") % 2500).alias("k")).select("k", F.xxhash64("k").alias("h"))
-    a = {r.k for r in possible_repeats(df, BloomConfig(hashes=1)).collect()}
-    plain = copies.F.length
-    monkeypatch.setattr(copies.F, "length", lambda c: plain(c) * (1 << 40))
-    assert {r.k for r in possible_repeats(df, BloomConfig(hashes=1)).collect()} == a >= set(range(500))
+    told = lambda: sorted((r.k, r.maybe) for r in marked(df).collect())
+    a = told()
+    monkeypatch.setattr(copies, "DENSE_BITS", 10)
+    assert told() == a and {k for k, maybe in a if maybe} >= set(range(500)) and len(a) == 3000
+
+
+def test_repeated_ids_are_separate_records(spark):
+    rows = [(5, "x"), (5, "x"), (7, "x"), (5, "y"), (9, None), (9, None)]
+    groups, members = copies_of(spark.createDataFrame(rows, "id bigint, canonical string"))
+    assert sorted(map(tuple, groups.collect())) == [(5, 1), (5, 3), (9, 1), (9, 1)]
+    assert sorted(map(tuple, members.collect())) == [(5, 5), (5, 7)]
+
+
+def test_random_numbers_keep_their_values():
+    """Two lists of numbers are copies exactly if their numbers are equal, however they are set."""
+    rng = random.Random(8)
+    number = lambda: rng.choice(["", "-"]) + rng.choice(["1", "2", "12", "1.5", "1,2", "3/4", "10:30"]) + rng.choice(["", "%"])
+    lists = [[number() for _ in range(rng.randint(1, 3))] for _ in range(300)]
+    shown = lambda ns: rng.choice(["{}", "({})", "“{}”."]).format(rng.choice(["; ", ", ", "  ", " ; "]).join(ns).replace("%", rng.choice(["%", " %"])))
+    minus = lambda ns: [x for x in ns if x[0] == "-" and ns.index(x) > 0]
+    for a in lists:
+        for b in lists[:40]:
+            if not minus(a) and not minus(b):  # between numbers a minus may be an operator
+                assert (canonical(shown(a)) == canonical(shown(b))) == (a == b), (a, b)
 
 
 def test_packed_positions():
