@@ -116,17 +116,16 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 6 Sample
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wiki = table(spark, sf_dir, "wiki_mcq_seed")
-    fields = {"subject": F.col("metadata.subject"), "answer": F.col("metadata.answer")}
-    return quotas.missed_targets(wiki, table(spark, sf_dir, "sample_targets"), fields).select("target_field", "category")
-
-
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     wiki = table(spark, sf_dir, "wiki_mcq_seed").select("row_id", F.col("metadata.subject").alias("subject"), F.col("metadata.answer").alias("answer"))
     return quotas.draw_sample(wiki, table(spark, sf_dir, "sample_targets"), F.col("subject"), F.col("answer"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out of the report of the drawn sample."""
+    return _drawn(spark, sf_dir)[1].filter("missed = 'rows'").select("target_field", "category")
+
+
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(spark, sf_dir)[0].select("row_id", "subject_category", "answer_category")
 
