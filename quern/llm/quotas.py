@@ -92,7 +92,7 @@ def _exchange(have: dict[Leaf, int], quota: dict[Leaf, int], goal: dict[str, int
     while True:
         over = [b for b in answers if total[b] > goal.get(b, 0)]
         under = {b for b in answers if total[b] < goal.get(b, 0)}
-        came: dict = {b: None for b in over}
+        came: dict = {b: b for b in over}
         queue, end = list(over), None
         while queue and end is None:
             a = queue.pop(0)
@@ -106,23 +106,22 @@ def _exchange(have: dict[Leaf, int], quota: dict[Leaf, int], goal: dict[str, int
         if end is None:
             return
         path = [end]
-        while came[path[-1]] is not None:
+        while came[path[-1]] != path[-1]:
             path.append(came[path[-1]])
         path.reverse()
         amount = min(total[path[0]] - goal.get(path[0], 0), goal[end] - total[end])
         for a, b in zip(path, path[1:]):
             amount = min(amount, room(a, b)[0])
-        moved = True
         for a, b in zip(path, path[1:]):
+            # no more goes on than came, so what is short at the end gets less so in every round
             most, s = room(a, b)
-            step = min(amount, most)
-            quota[s, a] -= step
-            quota[s, b] += step
-            total[a] -= step
-            total[b] += step
-            moved = step > 0
-        if not moved:
-            return
+            amount = min(amount, most)
+            if not amount:
+                return
+            quota[s, a] -= amount
+            quota[s, b] += amount
+            total[a] -= amount
+            total[b] += amount
 
 
 def allot_tree(have: dict[Leaf, int], weights: tuple[dict, dict], floors: tuple[dict, dict], total: int) -> dict[Leaf, int]:
