@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.forms import TokenHashes, key_tokens, raw_tokens
-from quern.operators.materialize import materialize
+from quern.operators.materialize import materialize, rows_of, salted_join
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -33,8 +33,9 @@ BATCH = 500
 class LeakConfig:
     """k, window: of the winnowing. share: least share of the question in one stretch. kept:
     share of the fingerprints of such a stretch, and of a choice, that a few changed words
-    leave; kept_choices: of the four choices together. index_rows:
-    items with more tokens than this are joined by shuffle instead of broadcast.
+    leave; kept_choices: of the four choices together. index_rows: items with more tokens
+    than this, those of their choices included, are joined by shuffle instead of broadcast
+    (an index of so many takes about 30 MB).
     """
 
     k: int = 3
@@ -42,7 +43,7 @@ class LeakConfig:
     share: float = 0.5
     kept: float = 0.4
     kept_choices: float = 0.7
-    index_rows: int = 2_000_000
+    index_rows: int = 200_000
 
 
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -99,6 +100,15 @@ class Batch:
         return np.flatnonzero(keep | few[doc])
 
 
+    def prints(self, cfg: LeakConfig, short: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hash, position) of the winnowed k-grams, and of all grams of each short length."""
+        h, at = self.grams(cfg.k)
+        kept = self.winnowed(h, at, cfg.window)
+        yield h[kept], at[kept]
+        for n in short:
+            yield self.grams(n)
+
+
 class Item:
     """One evaluation item in search form."""
 
@@ -124,6 +134,10 @@ class Item:
             for p in winnow(h, cfg.window):
                 yield int(h[p]), part
 
+    def short(self, cfg: LeakConfig) -> set[int]:
+        """Lengths of its parts that are shorter than what winnowing guarantees to keep a fingerprint of: they are looked for whole, at every place."""
+        return {n for n in (len(self.tokens), *map(len, self.choices)) if 0 < n < cfg.k + cfg.window - 1}
+
     def least(self, cfg: LeakConfig) -> float:
         """Number of fingerprints of the question that a stretch of share of it has wherever it stands, less those that changed words cost; 1 at least."""
         h = gram_hashes(np.array(self.tokens, np.uint64), cfg.k)
@@ -157,7 +171,8 @@ class ItemIndex:
         self.may[self.distinct >> np.uint64(44)] = True
         self.first = np.searchsorted(self.hash, self.distinct, "left")
         self.last = np.searchsorted(self.hash, self.distinct, "right")
-        self.short = sorted({n for item in self.items for n in (len(item.tokens), *map(len, item.choices)) if 0 < n < cfg.k})
+        self.short = sorted({n for item in self.items for n in item.short(cfg)})
+        self.whole = np.array([0 < len(item.tokens) < cfg.k + cfg.window - 1 for item in self.items], bool)
 
     def candidates(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Rows (document, item) whose question, and rows whose choices, may stand in the document.
@@ -170,11 +185,7 @@ class ItemIndex:
         if not len(self.distinct) or not len(batch.tokens):
             return none, none
         hashes, docs = [], []
-        for n in (self.cfg.k, *self.short):
-            h, at = batch.grams(n)
-            if n == self.cfg.k:
-                kept = batch.winnowed(h, at, self.cfg.window)
-                h, at = h[kept], at[kept]
+        for h, at in batch.prints(self.cfg, self.short):
             hashes.append(h)
             docs.append(batch.doc[at])
         found, doc = np.concatenate(hashes), np.concatenate(docs)
@@ -194,7 +205,8 @@ class ItemIndex:
         share, part = count / self.size[pair % slots], pair % slots % 5
         asked = pair[part == 0] // 5
         asked = asked[count[part == 0] >= self.least[asked % (slots // 5)]]
-        asked = self._in_step(asked, batch)
+        brief = self.whole[asked % (slots // 5)]
+        asked = np.sort(np.concatenate([asked[brief], self._in_step(asked[~brief], batch)]))
         chosen, who = (part > 0) & (share >= self.cfg.kept), pair // 5
         ids, of = np.unique(who[chosen], return_inverse=True)
         all4 = ids[(np.bincount(of, minlength=len(ids)) == 4) & (np.bincount(of, share[chosen], minlength=len(ids)) >= 4 * self.cfg.kept_choices)] if len(ids) else ids
@@ -276,7 +288,8 @@ def question_leaks(item: Item, doc: list[int], grams: np.ndarray, share: float)
     """Whether one stretch of the document reproduces enough of the question, its names and numbers included."""
     n = len(item.tokens)
     if n < 4:
-        return False
+        # too short to be known by a part of it: it has to be there as a whole; a single word is no more than a mention
+        return n > 1 and len(doc) >= n and bool((gram_hashes(np.array(doc, np.uint64), n) == gram_hashes(np.array(item.tokens, np.uint64), n)).any())
     need = share * n - 1
     for lo, hi in _regions(item, grams, need):
         start = max(0, lo - 4)
@@ -378,17 +391,21 @@ def batch_leaks(texts: Iterable[str | None], index: ItemIndex, token_hash: Token
     return [(d, index.ids[i], how) for (d, i), how in sorted(out.items())]
 
 
-def _prints(rows: Iterator[pd.DataFrame], cfg: LeakConfig) -> Iterator[pd.DataFrame]:
-    th = TokenHashes()
-    for part in rows:
-        batch, out = Batch(part["text"], th), []
-        for n in range(1, cfg.k + 1):
-            h, at = batch.grams(n)
-            if n == cfg.k:
-                kept = batch.winnowed(h, at, cfg.window)
-                h, at = h[kept], at[kept]
-            out.append(pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[batch.doc[at]], "print": h.view(np.int64)}))
-        yield pd.concat(out).drop_duplicates()
+#: Bits of the map of item fingerprints that document fingerprints are held against before they are shuffled (8 MB).
+MAP_BITS = 1 << 26
+
+
+def _prints(rows: Iterator[pd.DataFrame], cfg: LeakConfig, short: list[int], seen: np.ndarray) -> Iterator[pd.DataFrame]:
+    """doc_id, print of the document fingerprints that an item may have."""
+    th, mask = TokenHashes(), np.uint64(MAP_BITS - 1)
+    for whole in rows:
+        for first in range(0, len(whole), BATCH):
+            part = whole.iloc[first : first + BATCH]
+            batch, ids = Batch(part["text"], th), part["doc_id"].to_numpy()
+            for h, at in batch.prints(cfg, short):
+                low = h & mask
+                may = (seen[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+                yield pd.DataFrame({"doc_id": ids[batch.doc[at[may]]], "print": h[may].view(np.int64)}).drop_duplicates()
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
@@ -397,33 +414,42 @@ def find_leaks(documents: DataFrame, items: DataFrame, cfg: LeakConfig = LeakCon
     documents: doc_id, text. items: item_id, question, choices (map or null). Other columns
     are ignored. Null, empty and blank texts leak nothing; an item with null or empty
     question can leak by its choices only, one without four choices by its question only.
-    Repeated documents and repeated items each get their rows. Empty tables give no rows.
+    A question of two or three words leaks where it stands as a whole, one of a single word
+    never. Repeated documents and repeated items each get their rows. Empty tables give no
+    rows.
 
     The items are an index of bounded size (index_rows): it is sent to every executor, and
     documents are scanned once, without a shuffle. Beyond the bound, fingerprints of
-    documents and items are joined by shuffle, seeds are counted per pair, and only the
-    candidate pairs meet their texts again.
+    documents that an item may have are joined with those of the items by shuffle, seeds
+    are counted per pair, and only the candidate pairs meet their texts again.
     """
     docs = documents.select("doc_id", "text")
     own = items.select("item_id", "question", "choices")
-    cap = max(1, cfg.index_rows // 64)  # fingerprints of an item: seldom over 64
-    head = own.limit(cap + 1).collect()
-    small = len(head) <= cap and sum(len(raw_tokens(r["question"] or "")) for r in head) <= cfg.index_rows
-    if small:
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["question"], r["choices"]) for r in head], cfg))
-
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            th = TokenHashes()
-            for whole in parts:
-                for at in range(0, len(whole), BATCH):
-                    part = whole.iloc[at : at + BATCH]
-                    ids = part["doc_id"].to_numpy()
-                    yield pd.DataFrame([(ids[d], i, how) for d, i, how in batch_leaks(part["text"], shared.value, th)], columns=["doc_id", "item_id", "how"])
-
-        return docs.mapInPandas(scan, "doc_id bigint, item_id bigint, how string")
+    # by their lengths first: not more than a driver can hold are collected
+    chars = F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.aggregate(F.map_values("choices"), F.lit(0), lambda n, x: n + F.coalesce(F.length(x), F.lit(0))), F.lit(0))
+    size = own.select(F.coalesce(F.sum(chars + 1), F.lit(0)).alias("n")).first()["n"]
+    if size <= 8 * cfg.index_rows:
+        head = own.collect()
+        words = sum(len(raw_tokens(x)) for r in head for x in (r["question"], *(r["choices"] or {}).values()) if x)
+        if words <= cfg.index_rows:
+            return _find_by_scan(docs, ItemIndex([(r["item_id"], r["question"], r["choices"]) for r in head], cfg))
     return _find_by_shuffle(docs, own, cfg)
 
 
+def _find_by_scan(docs: DataFrame, index: ItemIndex) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        th = TokenHashes()
+        for whole in parts:
+            for at in range(0, len(whole), BATCH):
+                part = whole.iloc[at : at + BATCH]
+                ids = part["doc_id"].to_numpy()
+                yield pd.DataFrame([(ids[d], i, how) for d, i, how in batch_leaks(part["text"], shared.value, th)], columns=["doc_id", "item_id", "how"])
+
+    return docs.mapInPandas(scan, "doc_id bigint, item_id bigint, how string")
+
+
 def _find_by_shuffle(docs: DataFrame, items: DataFrame, cfg: LeakConfig) -> DataFrame:
     """find_leaks for item tables of any size."""
 
@@ -432,35 +458,45 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, cfg: LeakConfig) -> Data
         for part in parts:
             out = []
             for i, q, c in zip(part["item_id"], part["question"], part["choices"]):
-                c = dict(c) if c is not None else None
-                item = Item(q, c, th)
+                item = Item(q, dict(c) if c is not None else None, th)
                 prints, least = set(item.fingerprints(cfg)), item.least(cfg)
-                size = Counter(p for _, p in prints)
-                out += [(i, int(np.uint64(h).view(np.int64)), p, least if p == 0 else cfg.kept * size[p]) for h, p in prints]
-            yield pd.DataFrame(out, columns=["item_id", "print", "part", "least"])
-
-    prints = materialize(items.mapInPandas(item_prints, "item_id bigint, print bigint, part int, least double"), "item-prints")
-    sizes = prints.groupBy("item_id", "part").agg(F.count("*").alias("size"), F.first("least").alias("least"))
-    doc_prints = docs.mapInPandas(lambda parts: _prints(parts, cfg), "doc_id bigint, print bigint")
-    # per part of an item first, so that only counts are shuffled on
-    hits = doc_prints.join(prints, "print").groupBy("doc_id", "item_id", "part").agg(F.count("*").alias("n"))
-    hits = hits.join(sizes, ["item_id", "part"]).withColumn("left", F.col("n") / F.col("size")).withColumn("ok", F.col("n") >= F.col("least"))
+                size, short = Counter(p for _, p in prints), sorted(item.short(cfg))
+                out += [(i, int(np.uint64(h).view(np.int64)), p, size[p], least if p == 0 else cfg.kept * size[p], short) for h, p in prints]
+            yield pd.DataFrame(out, columns=["item_id", "print", "part", "size", "least", "short"])
+
+    prints = materialize(items.mapInPandas(item_prints, "item_id bigint, print bigint, part int, size int, least double, short array<int>"), "item-prints")
+    short = sorted(r["n"] for r in prints.select(F.explode("short").alias("n")).distinct().collect())  # at most k + window - 2 lengths
+    low = F.col("print").bitwiseAND(F.lit(MAP_BITS - 1))
+    words = prints.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(print & 63 as int))")).alias("bits"))
+    seen = np.zeros(MAP_BITS // 64, np.uint64)
+    for r in words.toLocalIterator():
+        seen[r["at"]] = np.uint64(r["bits"] % (1 << 64))
+    shared = docs.sparkSession.sparkContext.broadcast(seen)
+    doc_prints = docs.mapInPandas(lambda parts: _prints(parts, cfg, short, shared.value), "doc_id bigint, print bigint")
+    own = prints.select("item_id", "print", "part", "size", "least")
+    # per part of an item first, so that only counts are shuffled on; rows of a frequent fingerprint are salted
+    hits = salted_join(doc_prints, own, "print", "item_id", rows_of(prints), chunk=1000).groupBy("doc_id", "item_id", "part").agg(F.countDistinct("print").alias("n"), F.first("size").alias("size"), F.first("least").alias("least"))
+    hits = hits.withColumn("left", F.col("n") / F.col("size")).withColumn("ok", F.col("n") >= F.col("least"))
     pairs = (
         hits.groupBy("doc_id", "item_id")
         .agg(F.max((F.col("part") == 0) & F.col("ok")).alias("asked"), F.count(F.when((F.col("part") > 0) & F.col("ok"), 1)).alias("offered"), F.sum(F.when(F.col("part") > 0, F.col("left"))).alias("left"))
         .filter(f"asked or (offered = 4 and left >= {4 * cfg.kept_choices})")
         .select("doc_id", "item_id")
     )
-    joined = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "question", "choices")
+    joined = materialize(pairs, "pairs").join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "question", "choices")
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         th = TokenHashes()
-        for part in parts:
-            out = []
-            for d, i, t, q, c in part.itertuples(index=False):
-                one = ItemIndex([(i, q, dict(c) if c is not None else None)], cfg)
-                out += [(d, x, how) for _, x, how in batch_leaks([t], one, th)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "how"])
+        for whole in parts:
+            for at in range(0, len(whole), BATCH):
+                rows = list(whole.iloc[at : at + BATCH].itertuples(index=False))
+                # one index of the batch's items and one scan of its texts; of what they find, only its own pairs count
+                known: dict[tuple, int] = {}
+                own = [known.setdefault((r.item_id, r.question, tuple(sorted(dict(r.choices or {}).items()))), len(known)) for r in rows]
+                index = ItemIndex([(n, q, dict(c)) for (_, q, c), n in known.items()], cfg)
+                found = {(d, n): how for d, n, how in batch_leaks([r.text for r in rows], index, th)}
+                out = [(r.doc_id, r.item_id, found[d, n]) for d, (r, n) in enumerate(zip(rows, own)) if (d, n) in found]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "how"])
 
     return joined.mapInPandas(verify, "doc_id bigint, item_id bigint, how string")
 

@@ -96,3 +96,20 @@ def test_report(spark):
     items = items.withColumn("benchmark", F.when(F.col("item_id") < 3, "b"))
     got = {r.benchmark: (r["items"], r.leaked_items, r.pairs) for r in leaks.leak_report(leaks.find_leaks(docs, items), items).collect()}
     assert got["b"][:2] == (2, 2) and got[None] == (2, 0, 0)
+
+
+@pytest.mark.parametrize("rows", [200_000, 0], ids=["broadcast", "shuffle"])
+def test_short_questions_leak_as_a_whole(spark, rows):
+    items = spark.createDataFrame([(1, "Ai sinh 1954?", None), (2, "Vì sao?", None), (3, "Huế", None)], "item_id bigint, question string, choices map<string,string>")
+    docs = spark.createDataFrame([(1, PAD + "Ai sinh 1954? " + PAD), (2, PAD + "Ai sinh năm 1954? " + PAD), (3, PAD + "Thế thì vì sao. Ở Huế. " + PAD)], "doc_id bigint, text string")
+    got = leaks.find_leaks(docs, items, LeakConfig(index_rows=rows)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0], ids=["broadcast", "shuffle"])
+def test_choices_of_three_words_are_never_winnowed_away(spark, rows):
+    four = lambda n: {x: f"{a} {b} {n}{k}" for k, (x, a, b) in enumerate(zip("ABCD", ["sông", "núi", "hồ", "đảo"], ["xanh", "cao", "rộng", "xa"]))}
+    items = spark.createDataFrame([(n, None, four(n)) for n in range(40)], "item_id bigint, question string, choices map<string,string>")
+    docs = spark.createDataFrame([(n, PAD + "; ".join(four(n).values()) + ". " + PAD) for n in range(40)], "doc_id bigint, text string")
+    got = leaks.find_leaks(docs, items, LeakConfig(index_rows=rows)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(n, n) for n in range(40)]
