@@ -23,13 +23,15 @@ def similar_sets(units: DataFrame, t: float, ready: bool = False) -> DataFrame:
     are salted. units is written once before it is used, unless it is ready; the smaller
     side should be the left one.
     """
-    size = F.col("n") if "n" in units.columns else F.size("grams")
+    cut_before = "n" in units.columns
+    size = F.col("n") if cut_before else F.size("grams")
     units = units.select("u", "is_left", "is_right", size.alias("n"), "grams").filter(F.size("grams") > 0)
     units = units if ready else materialize(units, "sets")
     grams = units.select("u", "is_left", "is_right", "n", F.explode("grams").alias("g"))
-    own = materialize(grams.filter("is_left").select("g").distinct(), "elements")
-    if rows_of(own) <= ELEMENTS:
-        grams = grams.join(F.broadcast(own), "g", "left_semi")
+    if not cut_before:
+        own = materialize(grams.filter("is_left").select("g").distinct(), "elements")
+        if rows_of(own) <= ELEMENTS:
+            grams = grams.join(F.broadcast(own), "g", "left_semi")
     # elements of one side only can't match; they come first in the order and fill prefixes for free
     useful = grams.groupBy("g").agg(F.count("*").alias("df"), F.max("is_left").alias("a"), F.max("is_right").alias("b")).filter("a and b and df > 1").select("g", "df")
     sized = grams.join(useful, "g").groupBy("u", "is_left", "is_right", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
