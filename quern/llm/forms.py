@@ -134,15 +134,19 @@ class TokenHashes:
         h = self.known[piece] = b"".join(xxhash.xxh3_64_intdigest(fold(t)).to_bytes(8, "little") for t in _TOKEN.findall(piece))
         return h
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of raw_tokens(text), folded; empty for None."""
+    def packed(self, text: str | None) -> bytes:
+        """Hashes of raw_tokens(text), folded, 8 bytes each; empty for None."""
         if not text:
-            return np.empty(0, np.uint64)
+            return b""
         pieces = plain(text).split()
         found = list(map(self.known.get, pieces))
         if None in found:
             found = [self._learn(p) if h is None else h for p, h in zip(pieces, found)]
-        return np.frombuffer(b"".join(found), np.uint64)
+        return b"".join(found)
+
+    def of(self, text: str | None) -> np.ndarray:
+        """packed as an array."""
+        return np.frombuffer(self.packed(text), np.uint64)
 
 
 def sentence_starts(text: str) -> set[int]:

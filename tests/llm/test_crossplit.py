@@ -1,5 +1,7 @@
 """Cross-split overlaps against brute force."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,42 @@ def test_choice_pairs(spark):
 def test_hot_record(spark):
     df = spark.range(900).select(F.col("id").alias("row_id"), F.when(F.col("id") == 1, "test").otherwise("train").alias("split"), F.when(F.col("id") % 3 == 1, F.lit(Q)).otherwise(F.concat(F.lit("Câu hỏi về số "), F.col("id").cast("string"))).alias("question"), F.array(*(F.lit(x) for x in "abcd")).alias("choices"))
     assert crossplit.choice_pairs(df).count() == 299
+
+
+def test_same_questions_share_their_first_tokens(spark):
+    """The bound of the token join holds for all pairs that same_question accepts, the ones with little in common included."""
+    least = {r.n: r.m for r in spark.range(1, 80).select(F.col("id").alias("n"), crossplit.least_common(F.col("id")).alias("m")).collect()}
+    rng = random.Random(9)
+    words = ["năm", "ở", "được", "lớn", "người", "nào", "là", "gì", "sông", "17", "Huế"]
+    found = 0
+    for _ in range(30_000):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 9))]
+        b = list(a)
+        for _ in range(rng.randint(1, 5)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = [rng.choice(words)[: rng.randint(2, 6)] for _ in range(rng.randint(0, 2))]
+        x, y = " ".join(a) + "?", rng.choice(["", "Câu hỏi 17: "]) + " ".join(b) + "?"
+        if same_question(x, y):
+            found += 1
+            (nx, tx), (ny, ty) = crossplit.first_tokens(x), crossplit.first_tokens(y)
+            assert nx == ny and len({*tx} & {*ty}) >= max(least[len(tx)], least[len(ty)]), (x, y)
+    assert found > 3000
+    x, y = "năm ở được lớn?", "Câu hỏi 17: nămm ở cđợư lớn?"
+    assert same_question(x, y) and {*crossplit.first_tokens(x)[1]} & {*crossplit.first_tokens(y)[1]}
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 10])
+def test_mapped_shingles_change_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(crossplit, "MAP_BITS", bits)
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["làng", "sông", "núi", "nhà", "cây", "bờ"]) + rng.choice("abcdefghij") for _ in range(60))
+    texts = [text() for _ in range(20)]
+    rows = []
+    for n in range(120):
+        t = rng.choice(texts).split()
+        k = rng.randint(0, 50)
+        rows.append((n, rng.choice(["train", "test"]), "Làng nào?", " ".join(t[:k] + t[k + rng.randint(0, 14) :])))
+    df = spark.createDataFrame(rows, "row_id bigint, split string, question string, context string")
+    grams = {n: {tuple(x) for x in zip(*(c.split()[i:] for i in range(5)))} for n, _, _, c in rows}
+    want = {(a, b) for a, s, _, _ in rows for b, r, _, _ in rows if s == "test" and r == "train" and len(grams[a] & grams[b]) >= 0.5 * len(grams[a] | grams[b]) - 1e-9}
+    assert {(r.id_a, r.id_b) for r in crossplit.context_pairs(df).collect()} == want
