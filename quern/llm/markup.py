@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The element names of HTML that occur in texts.
 _ELEMENTS = (
@@ -180,13 +181,14 @@ def clean_text(text: str | None) -> str | None:
     return t.strip()
 
 
-def convert(df: DataFrame, id_column: str, column: str) -> DataFrame:
-    """id, kinds (array of string), clean of every row; null text gives an empty array and null."""
+def convert(df: DataFrame, id_column: str, column: str, clean: bool = True) -> DataFrame:
+    """id, kinds (array of string) and, unless it isn't wanted, clean of every row; null text gives an empty array and null."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({id_column: part[id_column], "kinds": [kinds_of(t) for t in part["text"]], "clean": [clean_text(t) for t in part["text"]]})
+            out = {id_column: part[id_column], "kinds": [kinds_of(t) for t in part["text"]]}
+            if clean:
+                out["clean"] = [clean_text(t) if kinds else t for t, kinds in zip(part["text"], out["kinds"])]
+            yield pd.DataFrame(out)
 
-    from pyspark.sql import functions as F
-
-    return df.select(id_column, F.col(column).alias("text")).mapInPandas(scan, f"{id_column} bigint, kinds array<string>, clean string")
+    return df.select(id_column, F.col(column).alias("text")).mapInPandas(scan, f"{id_column} bigint, kinds array<string>" + (", clean string" if clean else ""))

@@ -60,7 +60,7 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.convert(_contents(spark, sf_dir), "row_id", "content").select("row_id", F.explode("kinds").alias("kind"))
+    return markup.convert(_contents(spark, sf_dir), "row_id", "content", clean=False).select("row_id", F.explode("kinds").alias("kind"))
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
