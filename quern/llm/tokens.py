@@ -106,6 +106,12 @@ class Encoder:
         half = len(run) // 2
         return self.join(self.by_halves(run[:half]), self.by_halves(run[half:]))
 
+    def put(self, parts: list[list[int]]) -> list[int]:
+        """Tokens of consecutive parts of one pre-token, joined two by two and level by level: each token is copied once per level."""
+        while len(parts) > 1:
+            parts = [self.join(*parts[n : n + 2]) if n + 1 < len(parts) else parts[n] for n in range(0, len(parts), 2)]
+        return parts[0] if parts else []
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of the bytes of left and right together, both being the tokens of one side.
 
@@ -197,15 +203,12 @@ def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
     def put(part: pd.DataFrame) -> pd.DataFrame:
         enc = Encoder(path)
         rows = part.sort_values("n")
-        out: list[int] = []
-        run: list[int] = []
+        runs: list[list[list[int]]] = []
         for free, ids in zip(rows["free"], rows["ids"]):
-            if free:
-                out += run
-                run = list(ids)
-            else:
-                run = enc.join(run, list(ids))
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "ids": [out + run]})
+            if free or not runs:
+                runs.append([])
+            runs[-1].append(list(ids))
+        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "ids": [list(chain.from_iterable(enc.put(run) for run in runs))]})
 
     # repeated ids are kept apart by a key
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")

@@ -56,3 +56,16 @@ def test_frame(spark, reference):
         want = sorted(((n % 5, reference([t])[0] if t else []) for n, t in enumerate(texts)), key=str)
         assert got == want
     assert encode(df.limit(0)).count() == 0
+
+
+def test_parts_are_put_together_as_a_tree():
+    import random
+
+    enc = Encoder(rank_file(), long_run=16)
+    rng = random.Random(3)
+    for _ in range(200):
+        run = "".join(rng.choice(["a", "ab", "the", "ố", "ng", "x"]) for _ in range(rng.randint(1, 80)))
+        cuts = sorted({0, len(run), *(rng.randint(0, len(run)) for _ in range(rng.randint(0, 9)))})
+        parts = [enc.by_halves(run[a:b]) for a, b in zip(cuts, cuts[1:])]
+        assert enc.put(parts) == enc.bpe.encode_ordinary(run)
+    assert enc.put([]) == []
