@@ -58,3 +58,26 @@ def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
     plan, report = mixing.mix(docs, targets)
     assert plan.count() == 0 and report.first().actual_share == 0.0
+
+
+def test_reported_shares_are_those_of_the_mixture(spark):
+    """On the real documents: shares, rows and caps of the report, counted again in the mixture."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    documents, targets = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/mix_targets.parquet")
+    plan, report = mixing.mix(documents, targets)
+    rows = mixing.mixture(documents.select("doc_id", "source", "text"), plan)
+    got = {r.source: r for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("copy_no").alias("most")).collect()}
+    whole = sum(r.t for r in got.values())
+    weights = {r.source: r.weight for r in targets.collect()}
+    there = {r.source for r in report.collect() if r.documents}
+    for r in report.collect():
+        own = got.get(r.source)
+        assert (r.mixed_rows, r.mixed_tokens) == ((own.n, own.t) if own else (0, 0))
+        assert abs(r.actual_share - (own.t / whole if own else 0)) < 1e-9
+        assert own is None or own.most <= r.max_repeats
+        if r.source in there:
+            assert abs(r.actual_share - weights[r.source] / sum(weights[x] for x in there)) < 0.005 and r.met
