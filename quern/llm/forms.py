@@ -46,6 +46,11 @@ def visual_map() -> dict[int, str | None]:
             out[cp] = None
         elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")):
             out[cp] = unicodedata.normalize("NFKC", c)
+        elif unicodedata.decomposition(c).startswith("<compat>") and kind[0] in "LN" and cp != 0x17F:
+            # ligatures, letter pairs, Roman numerals: drawn as the letters they stand for; a long s isn't
+            whole = unicodedata.normalize("NFKC", c)
+            if all(unicodedata.category(x)[0] in "LM" for x in whole):
+                out[cp] = whole
     for cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, 0xFFA0, *range(0xFE00, 0xFE0E), *range(0xE0000, 0xE01F0)):
         out[cp] = None
     out |= {ord(a): b for a, b in LOOKALIKES.items()}
@@ -55,21 +60,29 @@ def visual_map() -> dict[int, str | None]:
 _LOOSE_JOINER = re.compile(f"(?<![{_PICTO}{_JOINERS}])[{_JOINERS}]+|[{_JOINERS}]+$")
 
 
-def visual_form(text: str | None, fold_case: bool = False) -> str | None:
+def visual_form(text: str | None, fold_case: bool = False, compatibility: bool = False) -> str | None:
     """One form for all texts that look the same; None stays None.
 
     Composed characters; full-width and half-width forms as the ordinary ones; every
-    unusual space as one ordinary space; invisible characters gone; look-alike letters as
-    the Latin ones. Raised digits, ordinary white space, punctuation and, unless fold_case,
-    letter case are kept.
+    unusual space as one ordinary space; invisible characters gone; ligatures and Roman
+    numerals as their letters; look-alike letters as the Latin ones. What a reader can tell
+    apart is kept: raised and circled signs, fractions, letters of another style, ordinary
+    white space, punctuation and letter case. With compatibility, these signs, fractions
+    and styles are resolved too (compatibility normalisation, composed form); with
+    fold_case, case is (full case folding).
     """
     if text is None:
         return None
+    if compatibility:
+        text = unicodedata.normalize("NFKC", text)
     t = unicodedata.normalize("NFD", text).translate(visual_map())
     if any(c in t for c in _JOINERS):
         t = _LOOSE_JOINER.sub("", t)
     t = unicodedata.normalize("NFC", t)
-    return unicodedata.normalize("NFC", t.casefold()) if fold_case else t
+    if fold_case:
+        t = t.casefold()
+        t = unicodedata.normalize("NFKC" if compatibility else "NFC", t)
+    return t
 
 
 @lru_cache(maxsize=1)

@@ -70,3 +70,24 @@ def test_key_tokens():
     t = "Sông Lám Nhốc dài 12 km. Ở đó có Hà Nội."
     assert [raw_tokens(t)[k] for k in sorted(key_tokens(t))] == ["Sông", "Lám", "Nhốc", "12", "Hà", "Nội"]
     assert [raw_tokens(t.upper())[k] for k in sorted(key_tokens(t.upper()))] == ["12"]
+
+
+def test_compatibility_and_case_are_parameters(spark):
+    from quern.llm.lookalikes import look_links, one_form
+
+    assert visual_form("ﬁn Ⅳ") == "fin IV" and visual_form("x² ① ½ 𝐀 … ſ") == "x² ① ½ 𝐀 … ſ"
+    assert visual_form("x² ① 𝐀 Straße", compatibility=True) == "x2 1 A Straße" and visual_form("STRASSE 𝐀", True, True) == visual_form("straße a", True, True)
+    rows = [(1, "x² A"), (2, "x2 a"), (3, None), (4, ""), (5, "x2 a")]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    assert [r.f for r in one_form(df, "t", "f", True, True).orderBy("id").collect()] == ["x2 a", "x2 a", None, "", "x2 a"]
+    links, members = look_links(df, "id", "t", True, True)
+    assert links.count() == 1 and sorted(r.id for r in members.collect()) == [1, 2, 5]
+    assert look_links(df, "id", "t")[0].count() == 0
+
+
+def test_spellings_of_very_many_rows(spark):
+    from quern.llm.lookalikes import look_links, same_look
+
+    df = spark.range(3000).select("id", F.when(F.col("id") == 7, "Ha\u0300 Nội").when(F.col("id") % 3 == 0, "Hà Nội").otherwise(F.col("id").cast("string")).alias("t"))
+    links, members = look_links(df, "id", "t")
+    assert links.count() == 1 and members.count() == 1001 and same_look(df, "id", "t").count() == 1000
