@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.materialize import materialize, rows_of, salted_join
@@ -11,6 +11,15 @@ from quern.operators.materialize import materialize, rows_of, salted_join
 ELEMENTS = 500_000
 
 
+#: Size of a set for which one more element must be shared within the first ones.
+STEP = 64
+
+
+def _shared(n: Column, t: float) -> Column:
+    """How many elements must be shared within the first ones: no more than in all."""
+    return F.least(F.floor(n / STEP) + 1, F.greatest(F.lit(1), F.ceil(n * F.lit(t) - 1e-9))).cast("int")
+
+
 def similar_sets(units: DataFrame, t: float, ready: bool = False) -> DataFrame:
     """left, right: units of the left side and of the right side with Jaccard similarity of at least t.
 
@@ -18,8 +27,9 @@ def similar_sets(units: DataFrame, t: float, ready: bool = False) -> DataFrame:
     a set whose grams hold only what may occur on the other side. A unit isn't paired with
     itself. Units without grams match none. Exact: elements are put in one order, rarest
     first, and two sets of the wanted similarity share one within the first few of both;
-    only those are joined. Length and position filters drop pairs that cannot reach the
-    overlap, the others are verified. No frequency is cut off; rows of a frequent element
+    only those are joined. Large sets are given a few elements more, one for each STEP of
+    their size, and must share as many more. Length and position filters drop pairs that
+    cannot reach the overlap, the others are verified. No frequency is cut off; rows of a frequent element
     are salted. units is written once before it is used, unless it is ready; the smaller
     side should be the left one.
     """
@@ -36,7 +46,7 @@ def similar_sets(units: DataFrame, t: float, ready: bool = False) -> DataFrame:
     useful = grams.groupBy("g").agg(F.count("*").alias("df"), F.max("is_left").alias("a"), F.max("is_right").alias("b")).filter("a and b and df > 1").select("g", "df")
     sized = grams.join(useful, "g").groupBy("u", "is_left", "is_right", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
     free = F.col("n") - F.size("order")
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + _shared(F.col("n"), t)
     cut = sized.withColumn("take", F.greatest(length - free, F.lit(0))).filter("take > 0")
     prefix = materialize(
         cut.select("u", "is_left", "is_right", "n", free.alias("free"), F.posexplode(F.expr("slice(order, 1, take)")).alias("at", "x")).select("u", "is_left", "is_right", "n", (F.col("free") + F.col("at")).alias("at"), F.col("x.g").alias("g")),
@@ -46,9 +56,10 @@ def similar_sets(units: DataFrame, t: float, ready: bool = False) -> DataFrame:
     right = prefix.filter("is_right").select("g", F.col("u").alias("right"), F.col("n").alias("nr"), F.col("at").alias("pr"))
     need = F.lit(t / (1 + t)) * (F.col("nl") + F.col("nr")) - 1e-9
     met = salted_join(left, right, "g", "right", rows_of(prefix)).filter((F.col("left") != F.col("right")) & (F.col("nl") >= t * F.col("nr") - 1e-9) & (F.col("nr") >= t * F.col("nl") - 1e-9))
+    pairs = met.groupBy("left", "right", "nl", "nr").agg(F.count("*").alias("common"), F.min("pl").alias("pl"), F.min("pr").alias("pr"))
     # what lies before the first common element is in one of the two only
-    met = met.filter(F.least(F.col("nl") - F.col("pl"), F.col("nr") - F.col("pr")) >= need)
-    pairs = met.select("left", "right").distinct()
+    reach = F.least(F.col("nl") - F.col("pl"), F.col("nr") - F.col("pr")) >= need
+    pairs = pairs.filter(reach & (F.col("common") >= F.least(_shared(F.col("nl"), t), _shared(F.col("nr"), t)))).select("left", "right")
     sets = units.select("u", "n", "grams")
     side = lambda u, g, n: sets.select(F.col("u").alias(u), F.col("grams").alias(g), F.col("n").alias(n))
     both = pairs.join(side("left", "gl", "nl"), "left").join(side("right", "gr", "nr"), "right")

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import dedup, leakage, lookup, materialize, ranking, split, stats
+from quern.operators import dedup, leakage, lookup, materialize, ranking, setjoin, split, stats
 from quern.operators.rules import RuleSet, blank, missing
 from quern.operators.setjoin import similar_sets
 from quern.operators.stage import Stage, capped_rejects, expect, expect_unique
@@ -126,13 +126,15 @@ def test_take_by_permutation(spark):
     assert sorted(r.id for r in got.filter("g = 'hot'").collect()) == sorted(want)
 
 
-def test_similar_sets_against_brute_force(spark):
+@pytest.mark.parametrize("step", [64, 2])
+def test_similar_sets_against_brute_force(spark, monkeypatch, step):
+    monkeypatch.setattr(setjoin, "STEP", step)
     rng = random.Random(3)
     sets = [sorted({rng.randint(0, 40) for _ in range(rng.randint(0, 12))}) for _ in range(120)]
     sets += [s[:-1] for s in sets[:40] if len(s) > 4]
     rows = [(n, n % 3 == 0, n % 3 != 0, s) for n, s in enumerate(sets)]
     df = spark.createDataFrame(rows, "u bigint, is_left boolean, is_right boolean, grams array<bigint>")
-    for t in (0.5, 0.8):
+    for t in (0.25, 0.5, 0.8):
         want = {(a, b) for a, l, _, x in rows for b, _, r, y in rows if l and r and a != b and x and y and len(set(x) & set(y)) >= t * len(set(x) | set(y)) - 1e-9}
         assert {(r.left, r.right) for r in similar_sets(df, t).collect()} == want
 
