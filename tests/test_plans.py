@@ -168,7 +168,7 @@ def records(spark):
         ({"choices": {"A": "Huế", "B": "Vinh", "C": " ", "D": "Lào"}}, "empty_choice"), ({"choices": {"A": "Huế", "B": "huế", "C": "Hà Nội", "D": "Lào"}}, "duplicate_choices_normalized"),
         ({"choices": {"A": "Huế", "B": "Vinh", "C": "Lào", "D": "Mai"}}, "gold_answer_missing_from_choices"), ({"choices": {"A": "Hà Nội", "B": "Vinh", "C": "Lào", "D": "Mai"}}, "gold_answer_label_mismatch"),
         ({"choices": {"A": "y" * 301, "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "choice_too_long"), ({"choices": {"A": "Không có thông tin", "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "banned_option_text"),
-        ({"choices": {"A": "Thủ đô Hà Nội", "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "distractor_matches_gold"), ({"choices": {"A": "z" * 60, "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "choice_length_imbalance"),
+        ({"choices": {"A": "Thủ đô Hà Nội", "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "distractor_contains_gold"), ({"choices": {"A": "z" * 60, "B": "Vinh", "C": "Hà Nội", "D": "Mai"}}, "choice_length_imbalance"),
     ],
 )
 def test_rule_check(records, change, want):
