@@ -100,13 +100,17 @@ class Batch:
         return np.flatnonzero(keep | few[doc])
 
 
-    def prints(self, cfg: LeakConfig, short: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(hash, position) of the winnowed k-grams, and of all grams of each short length."""
+    def prints(self, cfg: LeakConfig, short: Iterable[int], may: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hash, position) of the winnowed k-grams, and of all grams of each short length; of these only what may, by its top bits, be looked for."""
         h, at = self.grams(cfg.k)
         kept = self.winnowed(h, at, cfg.window)
         yield h[kept], at[kept]
         for n in short:
-            yield self.grams(n)
+            one, place = (h, at) if n == cfg.k else self.grams(n)
+            if may is not None:
+                some = np.flatnonzero(may[one >> np.uint64(44)])
+                one, place = one[some], place[some]
+            yield one, place
 
 
 class Item:
@@ -172,6 +176,11 @@ class ItemIndex:
         self.first = np.searchsorted(self.hash, self.distinct, "left")
         self.last = np.searchsorted(self.hash, self.distinct, "right")
         self.short = sorted({n for item in self.items for n in item.short(cfg)})
+        self.may_short = np.zeros(1 << 20, bool)
+        for item in self.items:
+            for tokens in (item.tokens, *item.choices):
+                if len(tokens) in self.short:
+                    self.may_short[gram_hashes(np.array(tokens, np.uint64), cfg.k) >> np.uint64(44)] = True
         self.whole = np.array([0 < len(item.tokens) < cfg.k + cfg.window - 1 for item in self.items], bool)
 
     def candidates(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +194,7 @@ class ItemIndex:
         if not len(self.distinct) or not len(batch.tokens):
             return none, none
         hashes, docs = [], []
-        for h, at in batch.prints(self.cfg, self.short):
+        for h, at in batch.prints(self.cfg, self.short, self.may_short):
             hashes.append(h)
             docs.append(batch.doc[at])
         found, doc = np.concatenate(hashes), np.concatenate(docs)
