@@ -139,6 +139,25 @@ def test_similar_sets_against_brute_force(spark, monkeypatch, step):
         assert {(r.left, r.right) for r in similar_sets(df, t).collect()} == want
 
 
+
+def test_similar_sets_shuffle_no_pairs_that_share_late_elements(spark):
+    """400 x 400 sets share 24 of their 40 elements, too few, and 5 of these lie within the elements that are joined."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        every = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(every.apply, range(every.size()))}
+
+    common = F.sequence(F.lit(0), F.lit(23))
+    own = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.col("id") * 16 + i + 1000)
+    df = spark.range(800).select(F.col("id").alias("u"), (F.col("id") % 2 == 0).alias("is_left"), (F.col("id") % 2 == 1).alias("is_right"), F.concat(F.transform(common, lambda x: x.cast("bigint")), own).alias("grams"))
+    near = df.filter("u = 0").select(F.lit(801).cast("bigint").alias("u"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"), F.slice("grams", 11, 30).alias("grams"))
+    before = written()
+    assert {(r.left, r.right) for r in similar_sets(df.unionByName(near), 0.5).collect()} == {(0, 801)}
+    assert sum(n for k, n in written().items() if k not in before) < 100_000
+
+
 def _leak_frame(spark, rows):
     return spark.createDataFrame(rows, "id bigint, question string, choices array<string>, context string, answer_text string")
 
