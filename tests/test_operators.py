@@ -3,10 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import dedup, leakage, lookup, materialize, ranking, setjoin, split, stats
+from quern.operators import dedup, leakage, lookup, materialize, overlap, ranking, setjoin, split, stats
 from quern.operators.rules import RuleSet, blank, missing
 from quern.operators.setjoin import similar_sets
 from quern.operators.stage import Stage, capped_rejects, expect, expect_unique
@@ -348,3 +349,56 @@ def test_no_shared_folder_is_an_error_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         materialize.shared_dir(Session())
+
+
+def test_contexts_that_share_sentences_are_not_shuffled_by_gram(spark):
+    """200 x 200 contexts share half of their words, too few: a join of their 5-grams would shuffle each pair many times, or the grams at least."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        every = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(every.apply, range(every.size()))}
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghiklmnopqrstuvxy") for _ in range(6))
+    common = " ".join(word() for _ in range(12))
+    texts = [f"{' '.join(word() for _ in range(10))} {common} {' '.join(word() for _ in range(10))}" for _ in range(400)]
+    rows = [(n, None, None, x, None) for n, x in enumerate(texts)]
+    near = (999, None, None, texts[3][:-30] + "một câu khác hẳn ở cuối đoạn", None)
+    before = written()
+    got = {r.id: r.benchmark_id for r in leakage.first_leak(_leak_frame(spark, [*rows[200:], near]), _leak_frame(spark, rows[:200]), ratio=False).collect() if r.reason}
+    assert got == {999: 3}
+    assert sum(n for k, n in written().items() if k not in before) < 10_000
+
+
+def test_first_overlaps_in_blocks_against_brute_force(monkeypatch):
+    for name in ("ROWS", "COLUMNS", "PLACES", "FREQUENT_CHARS"):
+        monkeypatch.setattr(overlap, name, 7)
+    rng = random.Random(8)
+    vocabulary = ["vua", "nước", "sông", "núi", "làng", "năm", "đời", "trần", "a", "ở", "hà", "𝒳y", "1873"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(3 * n + 1, text(rng.randint(1, 30))) for n in range(60)]
+    cand = [rng.choice([text(rng.randint(1, 30)), rng.choice(rows)[1] + " " + text(6), rng.choice(rows)[1][2:]]) or "a" for _ in range(150)]
+    upto = [rng.choice([2**63 - 1, 60]) for _ in cand]
+
+    def match(x, y):
+        grams = lambda s, n: {tuple(s[k : k + n]) for k in range(len(s) - n + 1)}
+        a, b = x.split(" "), y.split(" ")
+        return x in y or y in x or _jaccard(grams(x, 5), grams(y, 5)) >= 0.45 or _jaccard(grams(a, 3) or grams(a, 2), grams(b, 3) or grams(b, 2)) >= 0.5
+
+    want = {k: i for k, (x, u) in enumerate(zip(cand, upto)) if (i := next((i for i, y in rows if i <= u and match(x, y)), None)) is not None}
+    assert dict(overlap.Overlaps(rows[::-1], 0.45, 0.5).firsts(cand, np.array(upto))) == want and 20 < len(want) < 150
+
+
+def test_similar_sets_by_twos_against_brute_force(spark):
+    rng = random.Random(4)
+    sets = [sorted({rng.randint(0, 30) for _ in range(rng.choice([1, 2, 5, 12, 25]))}) for _ in range(120)]
+    sets += [s[:-1] for s in sets[:60] if len(s) > 3] + [[99], [99], [1, 2], [1, 2]]
+    rows = [(n, n % 2 == 0, n % 2 != 0, s) for n, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "u bigint, is_left boolean, is_right boolean, grams array<bigint>")
+    for t in (0.55, 0.8):
+        want = {(a, b) for a, l, _, x in rows for b, _, r, y in rows if l and r and a != b and len(set(x) & set(y)) >= t * len(set(x) | set(y)) - 1e-9}
+        assert {(r.left, r.right) for r in similar_sets(df, t, twos=True).collect()} == want
+    with pytest.raises(ValueError, match="twos"):
+        similar_sets(df, 0.5, twos=True)
