@@ -391,14 +391,9 @@ def test_first_overlaps_in_blocks_against_brute_force(monkeypatch):
     assert dict(overlap.Overlaps(rows[::-1], 0.45, 0.5).firsts(cand, np.array(upto))) == want and 20 < len(want) < 150
 
 
-def test_similar_sets_by_twos_against_brute_force(spark):
-    rng = random.Random(4)
-    sets = [sorted({rng.randint(0, 30) for _ in range(rng.choice([1, 2, 5, 12, 25]))}) for _ in range(120)]
-    sets += [s[:-1] for s in sets[:60] if len(s) > 3] + [[99], [99], [1, 2], [1, 2]]
-    rows = [(n, n % 2 == 0, n % 2 != 0, s) for n, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "u bigint, is_left boolean, is_right boolean, grams array<bigint>")
-    for t in (0.55, 0.8):
-        want = {(a, b) for a, l, _, x in rows for b, _, r, y in rows if l and r and a != b and len(set(x) & set(y)) >= t * len(set(x) | set(y)) - 1e-9}
-        assert {(r.left, r.right) for r in similar_sets(df, t, twos=True).collect()} == want
-    with pytest.raises(ValueError, match="twos"):
-        similar_sets(df, 0.5, twos=True)
+def test_first_questions_with_similar_words_against_brute_force():
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("a b c d e f g h i k l m".split()) for _ in range(rng.randint(1, 9)))
+    rows, cand = [(n, text()) for n in range(80)], [text() for _ in range(200)]
+    want = {k: i for k, x in enumerate(cand) if (i := next((i for i, y in rows if _jaccard(set(x.split()), set(y.split())) >= 0.8), None)) is not None}
+    assert dict(overlap.WordSets(rows, 0.8).firsts(cand, np.full(len(cand), 2**63 - 1))) == want and 20 < len(want) < 200
